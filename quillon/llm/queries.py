@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_rules import line_first_clean
+from .packing import pack
 from .session import documents
 
 
@@ -15,8 +16,13 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed_lines", "n_kept_words", "lost")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_rules": op5_line_rules,
+    "op6_packing": op6_packing,
 }
 
 ORACLES: dict[str, str] = {}
