@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .line_rules import line_first_clean
 from .packing import pack
 from .session import documents
+from .substrings import remove_repeats
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +22,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_rules": op5_line_rules,
     "op6_packing": op6_packing,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.session import on_workers
+
 #: Rows of one Arrow batch handed to Python; texts of some 100 KB still make batches of tens of MB.
 ARROW_ROWS = 1000
 FALLBACK = "/tmp/checkpoints"
@@ -18,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
+    return on_workers(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
