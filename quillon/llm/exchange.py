@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -61,13 +61,14 @@ def shard_edges(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     return [(s, a, b) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(g, doc_id, text), dealt by g, a group of documents by id; and the number of groups, which is that of shards too."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def grouped(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Column] | None = None, group_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """(g, doc_id, text, ...), dealt by g, a group of documents by id; and the number of groups, which is that of shards too."""
+    more = more or {}
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c.alias(k) for k, c in more.items()))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, math.ceil(total / GROUP_BYTES))
+    groups = max(1, math.ceil(total / (group_bytes or GROUP_BYTES)))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 8)
-    return own.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition(parts, "g"), groups
+    return own.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text", *more).repartition(parts, "g"), groups
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_rules import line_first_clean
+from .ngram_lm import score_texts
 from .packing import pack
 from .session import documents
 from .substrings import remove_repeats
@@ -27,7 +28,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_lm": op3_ngram_lm,
     "op5_line_rules": op5_line_rules,
     "op6_packing": op6_packing,
     "op8_substring_dedup": op8_substring_dedup,
