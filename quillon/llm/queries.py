@@ -11,9 +11,15 @@ from .line_rules import line_first_clean
 from .ngram_lm import score_texts
 from .packing import pack
 from .session import documents
+from .shards import assign
 from .substrings import remove_repeats
 
 
+def op4_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign(documents(spark, sf_dir), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_first_clean(documents(spark, sf_dir), with_text=False)
     return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed_lines", "n_kept_words", "lost")
@@ -34,6 +40,7 @@ def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_lm": op3_ngram_lm,
+    "op4_vector_shards": op4_vector_shards,
     "op5_line_rules": op5_line_rules,
     "op6_packing": op6_packing,
     "op8_substring_dedup": op8_substring_dedup,
