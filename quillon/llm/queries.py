@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import ordinal, toxicity
 from .line_rules import line_first_clean
 from .ngram_lm import score_texts
 from .packing import pack
@@ -47,6 +47,15 @@ def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Graded ratings: 0 poor, 1 fair (good but toxic), 2 good.
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)
+    model = ordinal.train(docs, labels, grade, [0, 1, 2], fold_of("id", 5) != 0)
+    graded = ordinal.grade_texts(docs, model, tail=1)
+    return graded.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail_prob", "grade", (F.col("tail_prob") >= 0.5).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_lm": op3_ngram_lm,
     "op4_vector_shards": op4_vector_shards,
@@ -54,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 
 ORACLES: dict[str, str] = {}
