@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ordinal, toxicity
+from . import near_dup, ordinal, toxicity
 from .line_rules import line_first_clean
 from .ngram_lm import score_texts
 from .packing import pack
@@ -43,6 +43,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(documents(spark, sf_dir))
+
+
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bag_minhash": op2_bag_minhash,
     "op3_ngram_lm": op3_ngram_lm,
     "op4_vector_shards": op4_vector_shards,
     "op5_line_rules": op5_line_rules,
