@@ -12,8 +12,9 @@ filled, so the work is about m log m + n for a text of n shingles.
 
 Texts that agree in a whole band are candidates.  They are verified exactly by
 multiset overlap, first against one hub per bucket, so that a bucket of copies
-costs as many pairs as it has texts, then, for the classes which that leaves
-apart, between all members of different classes in a bucket.  Nothing is capped.
+costs as many pairs as it has texts; then, for the classes which that leaves
+apart in a bucket, blocks of members of different classes are compared within
+a task, which returns only the links.  Nothing is capped.
 
 Defined results: equal texts are one class without more ado; a null text counts
 as empty; texts without words are like none but equal texts; a class is named
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +134,39 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, share: tuple[int, int]
             yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "same": pa.array(same, pa.bool_())})
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5), bands: int = 24, rows: int = 4, hubs: int = 3) -> DataFrame:
-    """doc_id, class_id, n_links: the smallest id of each document's class and its verified links to other texts."""
+def _links(table: pa.Table, size: int, share: tuple[int, int]) -> pa.Table:
+    """Links between texts of different classes in one block of a bucket: few (side 0) against many (side 1).
+
+    The shingles of the many are sorted once; those of each of the few are looked up there and overlaps added up.
+    A pair that shares several bands is judged in the first of them.
+    """
+    few, many = (table.filter(pc.equal(table.column("side"), s)) for s in (0, 1))
+    found: list[tuple[bytes, bytes]] = []
+    if few.num_rows and many.num_rows:
+        band = table.column("band")[0].as_py()
+        owner, hashes, counts = shingles_of(W.texts_of(many.column("text")), size)
+        total = np.bincount(owner, counts, many.num_rows)
+        order = np.argsort(hashes, kind="stable")
+        owner, hashes, counts = owner[order], hashes[order], counts[order]
+        keys, labels = many.column("key").to_pylist(), np.array(many.column("label").to_pylist(), object)
+        main = np.array(many.column("main").to_pylist(), bool)
+        bands = np.array(many.column("bands").to_pylist(), np.int64)
+        own, own_hashes, own_counts = shingles_of(W.texts_of(few.column("text")), size)
+        edges = np.searchsorted(own, np.arange(few.num_rows + 1))
+        for i, (key, label, own_bands) in enumerate(zip(few.column("key").to_pylist(), few.column("label").to_pylist(), few.column("bands").to_pylist(), strict=True)):
+            h, c = own_hashes[edges[i] : edges[i + 1]], own_counts[edges[i] : edges[i + 1]]
+            first, end = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            n = end - first
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, n)), many.num_rows)
+            close = shared * share[1] >= share[0] * (total + c.sum() - shared)
+            here = (bands == np.array(own_bands, np.int64)).argmax(axis=1) == band
+            found += [(min(key, keys[j]), max(key, keys[j])) for j in np.flatnonzero(close & here & (labels != label)) if main[j] or key < keys[j]]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5), bands: int = 24, rows: int = 4, hubs: int = 3, block: int = 1024) -> DataFrame:
+    """doc_id, class_id: the smallest id of each document's class."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("key", F.unhex(F.md5("text")))
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -145,11 +178,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     named = members.select("key").distinct()
     texts = written(own.join(named, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "near-texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = [texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}")) for s in ("a", "b")]
-        both = pairs.join(sides[1], "b").join(sides[0], "a")
-        return both.select("a", "text_a", "b", "text_b").mapInArrow(lambda b: _verify(b, words, share), "a binary, b binary, same boolean")
-
     def hub_pairs(labelled: DataFrame, seed: int) -> DataFrame:
         """One text of each bucket with all others there that are not of its class."""
         order = F.struct(F.xxhash64(F.lit(seed), "key"), "key", "label")
@@ -157,17 +185,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         found = labelled.join(hub, ["band", "value"]).filter(F.col("label") != F.col("hub.label"))
         return found.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
-    # Pairs with a hub of each bucket, some rounds with other hubs; then whatever pairs of different classes are left in a bucket.
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = [texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}")) for s in ("a", "b")]
+        both = pairs.join(sides[1], "b").join(sides[0], "a")
+        return both.select("a", "text_a", "b", "text_b").mapInArrow(lambda b: _verify(b, words, share), "a binary, b binary, same boolean")
+
+    def rest(labelled: DataFrame) -> DataFrame:
+        """Links between all texts of different classes in a bucket, in blocks of a bucket's members."""
+        sizes = labelled.groupBy("band", "value", "label").agg(F.count("*").alias("n")).groupBy("band", "value").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+        apart = sizes.filter("labels > 1").select("band", "value", F.col("main.label").alias("main_label"), F.ceil(F.col("n") / block).cast("int").alias("many"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("few"))
+        left = labelled.join(apart, ["band", "value"]).withColumn("main", F.col("label") == F.col("main_label"))
+        deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+        all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ["band", "value", "key", "label", "main"]
+        many = left.withColumn("i", deal("many")).withColumn("j", all_("few")).select(*columns, "i", "j", F.lit(1).alias("side"))
+        few = left.filter(~F.col("main")).withColumn("j", deal("few")).withColumn("i", all_("many")).select(*columns, "i", "j", F.lit(0).alias("side"))
+        held = texts.join(distinct.select("key", "bands"), "key")
+        blocks = many.unionByName(few).join(held, "key")
+        return blocks.groupBy("band", "value", "i", "j").applyInArrow(lambda t: _links(t, words, share), "a binary, b binary").distinct()
+
+    # Pairs with a hub of each bucket, some rounds with other hubs; then all that is left between the classes of a bucket.
     tested, label = None, named.select("key", F.col("key").alias("label"))
-    for turn in range(hubs + 1):
-        labelled = members.join(label, "key")
-        if turn < hubs:
-            pairs = hub_pairs(labelled, turn)
-        else:
-            apart = labelled.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("band", "value")
-            left = labelled.join(apart, ["band", "value"])
-            right = left.select("band", "value", F.col("key").alias("b"), F.col("label").alias("label_b"))
-            pairs = left.select("band", "value", F.col("key").alias("a"), F.col("label").alias("label_a")).join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
+    for turn in range(hubs):
+        pairs = hub_pairs(members.join(label, "key"), turn)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         now = written(verified(pairs), "near-tested")
@@ -175,11 +215,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         if now.isEmpty():
             break
         label = components(named, tested.filter("same").select("a", "b"), "key")
+    links = written(rest(members.join(label, "key")), "near-links").unionByName(tested.filter("same").select("a", "b"))
+    label = components(named, links, "key")
 
-    same = tested.filter("same")
-    ends = same.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    named_by = distinct.select("key", "doc_id").join(label, "key").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    by_key = label.join(named_by, "label").join(ends, "key", "left").select("key", "class_id", "n_links")
-    alone = distinct.select("key", F.col("doc_id").alias("least_id"))
-    of_key = alone.join(by_key, "key", "left").select("key", F.coalesce("class_id", "least_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "n_links")
+    by_label = distinct.select("key", "doc_id").join(label, "key").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    by_key = label.join(by_label, "label").select("key", "class_id")
+    of_key = distinct.select("key", F.col("doc_id").alias("least_id")).join(by_key, "key", "left").select("key", F.coalesce("class_id", "least_id").alias("class_id"))
+    return signed.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id")
