@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, ordinal, toxicity
+from . import bit_sliced, near_dup, ordinal, toxicity
 from .line_rules import line_first_clean
+from .mixing import mix
 from .ngram_lm import score_texts
 from .packing import pack
 from .samples import fold_of
-from .session import documents
+from .session import documents, prepare
 from .shards import assign
 from .substrings import remove_repeats
 
@@ -43,6 +44,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op1_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return bit_sliced.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
@@ -51,6 +57,24 @@ def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
 
 
+#: Target weights of domains and, in each, of languages; sources of a language weigh the same.
+DOMAINS = {"web": 0.4, "books": 0.2, "news": 0.2, "forum": 0.2}
+LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+MIX_WEIGHTS = {(d,): w for d, w in DOMAINS.items()} | {(d, x): w for d in DOMAINS for x, w in LANGUAGES.items()}
+
+
+def domain_of(source: str = "source") -> Column:
+    """The driver's tables have no domains; sources are dealt to four by their checksum."""
+    names = F.array(*[F.lit(d) for d in DOMAINS])
+    return F.element_at(names, (F.crc32(F.col(source).cast("binary")) % len(DOMAINS) + 1).cast("int"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source", domain_of().alias("domain"))
+    mixed = mix(docs, F.col("domain"), MIX_WEIGHTS, share=0.8, epochs=2)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch")
+
+
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Graded ratings: 0 poor, 1 fair (good but toxic), 2 good.
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -61,6 +85,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bit_sliced_topk": op1_bit_sliced_topk,
     "op2_bag_minhash": op2_bag_minhash,
     "op3_ngram_lm": op3_ngram_lm,
     "op4_vector_shards": op4_vector_shards,
@@ -68,7 +93,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_source_mix": op9_source_mix,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
 
-ORACLES: dict[str, str] = {}
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op1_bit_sliced_topk": OP1_SQL}

@@ -27,7 +27,8 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
 from .exchange import grouped, in_order, pack_bits, pack_keys, planes, shard_edges, slices, unpack_bits, unpack_keys, unplanes
@@ -139,8 +140,8 @@ def _find_repeats(table: pa.Table) -> pa.Table:
     return _table(rows, [("g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary())])
 
 
-def _cut(table: pa.Table, answers: pa.Table, window: int, id_type: pa.DataType) -> pa.Table:
-    schema = pa.schema([("doc_id", id_type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
+def _cut(table: pa.Table, answers: pa.Table, window: int, kept_fields: list[pa.Field], verbatim: bool) -> pa.Table:
+    schema = pa.schema([("doc_id", pa.int64()), *kept_fields, ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
     if not table.num_rows:
         return schema.empty_table()
     kinds = answers.column("kind")
@@ -163,7 +164,12 @@ def _cut(table: pa.Table, answers: pa.Table, window: int, id_type: pa.DataType)
         per_text = total[words.first[1:]] - total[words.first[:-1]]
         spans, kept = [], []
         for i in range(part.num_rows):
-            split = texts.text(i).split()
+            whole = texts.text(i)
+            if verbatim and not per_text[i]:
+                spans.append([])
+                kept.append(whole.decode("utf-8", "replace"))
+                continue
+            split = whole.split()
             if per_text[i]:
                 flags = removed[words.first[i] : words.first[i + 1]]
                 edges = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0)).tolist()
@@ -172,18 +178,24 @@ def _cut(table: pa.Table, answers: pa.Table, window: int, id_type: pa.DataType)
             else:
                 spans.append([])
             kept.append(b" ".join(split).decode("utf-8", "replace"))
-        out.append(pa.Table.from_arrays([part.column("doc_id"), pa.array(words.per_text), pa.array(per_text), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.string())], schema=schema))
+        out.append(pa.Table.from_arrays([part.column("doc_id"), *(part.column(f.name) for f in kept_fields), pa.array(words.per_text), pa.array(per_text), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.string())], schema=schema))
     return pa.concat_tables(out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block: int = 10) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (word ranges cut out) and kept_text (the other words, joined by one space)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block: int = 10, row: Column | None = None, verbatim: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (word ranges cut out) and kept_text (the other words, joined by one space).
+
+    row: an expression to carry along as column `row`; verbatim: texts with nothing to cut out stay as they are.
+    """
     if 2 * block > window + 1:
         raise ValueError("a window must hold a whole reference block wherever it starts")
-    own, shards = grouped(docs.withColumn(id_col, docs[id_col].cast("long")), id_col, text_col)
-    by_group = lambda df: own.groupBy("g").cogroup(df.groupBy("g"))
-    probes = own.groupBy("g").applyInArrow(lambda t: _state_anchors(t, block, shards), "g int, shard int, keys binary, n long, blocks binary, more binary")
+    own, shards = grouped(docs.withColumn(id_col, docs[id_col].cast("long")), id_col, text_col, {} if row is None else {"row": row})
+    carried = [f for f in own.schema if f.name == "row"]
+    fields = [pa.field("row", to_arrow_type(f.dataType)) for f in carried]
+    bare = own.select("g", "doc_id", "text")
+    probes = bare.groupBy("g").applyInArrow(lambda t: _state_anchors(t, block, shards), "g int, shard int, keys binary, n long, blocks binary, more binary")
     anchors = probes.groupBy("shard").applyInArrow(_find_anchors, "g int, keys binary")
-    stated = by_group(anchors).applyInArrow(lambda t, a: _state_windows(t, a, block, window, shards), "g int, shard int, keys binary, ids binary, places binary, more binary")
+    stated = bare.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(lambda t, a: _state_windows(t, a, block, window, shards), "g int, shard int, keys binary, ids binary, places binary, more binary")
     repeats = stated.groupBy("shard").applyInArrow(_find_repeats, "g int, kind int, keys binary")
-    return by_group(repeats).applyInArrow(lambda t, a: _cut(t, a, window, pa.int64()), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept_text string")
+    out = "doc_id long, " + "".join(f"row {f.dataType.simpleString()}, " for f in carried) + "n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept_text string"
+    return own.groupBy("g").cogroup(repeats.groupBy("g")).applyInArrow(lambda t, a: _cut(t, a, window, fields, verbatim), out)

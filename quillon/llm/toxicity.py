@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import words as W
 from .samples import fold_of, labelled_sample
@@ -187,8 +188,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """The id as doc_id, the columns to keep, and score, predicted."""
     keep = keep or []
     own = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_scored"))
-    types = {f.name: f.dataType.simpleString() for f in own.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ["doc_id", *keep]) + ", score double, predicted int"
+    schema = StructType([*own.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, laid = model.compressors()
