@@ -10,15 +10,29 @@ import numpy as np
 U = np.uint64
 
 
+#: For each byte and k: the place of its k-th (from 0) set bit.
+_IN_BYTE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _places = [_i for _i in range(8) if _byte >> _i & 1]
+    _IN_BYTE[_byte, : len(_places)] = _places
+
+
 def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) set bit of each 64-bit word, by halving."""
-    at, k = np.zeros(len(words), np.int64), k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count((words >> at.astype(U)) & U((1 << width) - 1)).astype(np.int64)
-        right = k >= low
-        k = np.where(right, k - low, k)
-        at += np.where(right, width, 0)
-    return at
+    """Place of the k-th (from 0) set bit of each 64-bit word: its byte by running counts, then a table."""
+    parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+    which = np.minimum((upto <= k.astype(np.uint8)[:, None]).sum(axis=1, dtype=np.int64), 7)
+    flat = np.arange(len(parts)) * 8 + which
+    before = np.where(which > 0, upto.reshape(-1)[np.maximum(flat - 1, 0)], 0)
+    return which * 8 + _IN_BYTE[parts.reshape(-1)[flat], (k - before) & 7]
+
+
+def _packed(flags: np.ndarray) -> np.ndarray:
+    """Flags as 64-bit words, lowest bit first, with two words to spare."""
+    raw = np.packbits(flags, bitorder="little")
+    out = np.zeros((len(raw) + 7) // 8 + 2, U)
+    out.view(np.uint8)[: len(raw)] = raw
+    return out
 
 
 class EliasFano:
@@ -32,22 +46,13 @@ class EliasFano:
         self.universe = max(1, int(universe))
         self.low_bits = max(0, (self.universe // max(1, n)).bit_length() - 1)
         values = values.astype(U)
-        high = (values >> U(self.low_bits)).astype(np.int64)
-        size = (n + (self.universe >> self.low_bits) + 1 + 63) // 64 + 1
-        ones = high + np.arange(n)
-        bits = np.zeros(size, U)
-        np.bitwise_or.at(bits, ones >> 6, U(1) << (ones & 63).astype(U))
-        low = np.zeros((n * self.low_bits + 63) // 64 + 2, U)
-        if self.low_bits and n:
-            part = values & U((1 << self.low_bits) - 1)
-            at = np.arange(n) * self.low_bits
-            word, shift = at >> 6, (at & 63).astype(U)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift + U(self.low_bits) > U(64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - shift[over]))
+        unary = np.zeros(n + (self.universe >> self.low_bits) + 1, bool)
+        unary[(values >> U(self.low_bits)).astype(np.int64) + np.arange(n)] = True
+        bits = _packed(unary)
+        low = _packed((values[:, None] >> np.arange(self.low_bits, dtype=U) & U(1)).astype(bool).reshape(-1)) if self.low_bits else np.zeros(2, U)
         counts = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
         self.bits, self.low, self.ones = (self._mapped(a, name, folder) for a, name in ((bits, "bits"), (low, "low"), (counts, "ones")))
-        self.zeros = np.arange(size + 1) * 64 - self.ones
+        self.zeros = np.arange(len(bits) + 1) * 64 - self.ones
 
     @staticmethod
     def _mapped(values: np.ndarray, name: str, folder: Path | None) -> np.ndarray:
@@ -72,21 +77,30 @@ class EliasFano:
         at = word * 64 + _select_in_word(self.bits[word], i - self.ones[word])
         return ((at - i).astype(U) << U(self.low_bits) | self._low(i)).astype(np.int64)
 
-    def _until(self, high: np.ndarray) -> np.ndarray:
-        """How many numbers have a high part below `high`."""
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end place of the numbers with a high part: the run of ones after its zero."""
         k = high - 1
         word = np.clip(np.searchsorted(self.zeros, k, "right") - 1, 0, len(self.bits) - 1)
         at = word * 64 + _select_in_word(~self.bits[word], np.maximum(k - self.zeros[word], 0))
-        return np.where(high <= 0, 0, at - k)
+        at = np.where(high <= 0, 0, at + 1)
+        first = at - np.maximum(high, 0)
+        run, open_ = np.zeros(len(high), np.int64), np.arange(len(high))
+        while open_.size:  # on into the next word where a run reaches its end
+            here = at[open_] + run[open_]
+            rest = self.bits[np.minimum(here >> 6, len(self.bits) - 1)] >> (here & 63).astype(U)
+            ones = np.bitwise_count(rest ^ (rest + U(1))).astype(np.int64) - 1
+            ones = np.minimum(np.where(rest == U(0xFFFFFFFFFFFFFFFF), 64, ones), 64 - (here & 63))
+            run[open_] += ones
+            open_ = open_[(ones > 0) & (ones == 64 - (here & 63))]
+        return first, first + run
 
     def find(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place of x in [first, end), or -1: successor search among the numbers with x's high part."""
         x = x.astype(np.int64)
         inside = (x >= 0) & (x < self.universe) & (end > first)
         safe = np.where(inside, x, 0)
-        high = safe >> self.low_bits
-        a = np.maximum(self._until(high), first)
-        b = np.minimum(self._until(high + 1), end)
+        a, b = self._bucket(safe >> self.low_bits)
+        a, b = np.maximum(a, first), np.minimum(b, end)
         low = safe.astype(U) & U((1 << self.low_bits) - 1)
         a, b = np.where(inside, a, 0), np.where(inside, np.maximum(b, a), 0)
         last = b.copy()
@@ -119,13 +133,18 @@ class Siblings:
 
     def find(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each id among the successors of its context (-1: none), and where these begin."""
-        known = (context >= 0) & (ids >= 0)
-        safe = np.where(known, context, 0)
-        first, end = self.pointers.access(safe), self.pointers.access(safe + 1)
-        if not self.ids.n:
-            return np.full(len(context), -1), first
+        out, begin = np.full(len(context), -1), np.zeros(len(context), np.int64)
+        known = np.flatnonzero(context >= 0)
+        if not self.ids.n or not len(known):
+            return out, begin
+        asked = context[known]
+        new = np.flatnonzero(np.diff(asked, prepend=-1))  # each run of one context looks up its range once
+        run = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(asked))))
+        first, end = self.pointers.access(asked[new]), self.pointers.access(asked[new] + 1)
         base = np.where(first > 0, self.ids.access(np.maximum(first - 1, 0)) + 1, 0)
-        return self.ids.find(np.where(known, base + ids, -1), first, end), first
+        begin[known] = first[run]
+        out[known] = self.ids.find(np.where(ids[known] >= 0, base[run] + ids[known], -1), first[run], end[run])
+        return out, begin
 
 
 class Trie:
@@ -157,18 +176,23 @@ class Trie:
     def quantised(cls, probability: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(-np.log10(probability) * cls.STEP), 0, 255).astype(np.uint8)
 
-    def score(self, keys: np.ndarray, back: np.ndarray, unknown: float) -> np.ndarray:
-        """log10 probability of each token; back: how many tokens of the same text stand before it."""
-        place = np.searchsorted(self.words, keys)
-        place = np.minimum(place, max(0, len(self.words) - 1))
-        word = np.where(self.words[place] == keys, place, -1) if len(self.words) else np.full(len(keys), -1)
-        before = np.where(back >= 1, np.roll(word, 1), -1)
-        pair, first = self.second.find(before, word)
-        context = np.where(back >= 2, np.roll(pair, 1), -1)
-        triple, _ = self.third.find(np.where(pair >= 0, context, -1), np.where(pair >= 0, pair - first, -1))
-        out = np.where(word >= 0, -self._at(self.codes[0], word) / self.STEP, unknown) - self._at(self.weights[0], before) / self.STEP
-        out = np.where(pair >= 0, -self._at(self.codes[1], pair) / self.STEP, out) - self._at(self.weights[1], context) / self.STEP
-        return np.where(triple >= 0, -self._at(self.codes[2], triple) / self.STEP, out)
+    def score(self, words: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], last: np.ndarray, unknown: float) -> list[np.ndarray]:
+        """log10 probabilities of words alone, of pairs' second words and of triples' third words.
+
+        words: sorted keys; pairs: two word indices, triples: a pair's index and a word's, both sorted;
+        last: the index of the pair that each triple ends with.
+        """
+        word = np.full(len(words), -1)
+        if len(self.words) and len(words):
+            place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            word = np.where(self.words[place] == words, place, -1)
+        pair, first = self.second.find(word[pairs[0]], word[pairs[1]])
+        rank = np.where(pair >= 0, pair - first, -1)
+        triple, _ = self.third.find(pair[triples[0]], rank[last])
+        one = np.where(word >= 0, -self._at(self.codes[0], word) / self.STEP, unknown)
+        two = np.where(pair >= 0, -self._at(self.codes[1], pair) / self.STEP, one[pairs[1]] - self._at(self.weights[0], word[pairs[0]]) / self.STEP)
+        three = np.where(triple >= 0, -self._at(self.codes[2], triple) / self.STEP, two[last] - self._at(self.weights[1], pair[triples[0]]) / self.STEP)
+        return [one, two, three]
 
     @staticmethod
     def _at(values: np.ndarray, i: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +105,11 @@ class Grams:
         self.keys = np.concatenate(keys)
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         self.back = _back(self.offsets)
-        self.words, word = np.unique(self.keys, return_inverse=True)
+        met, seen = pd.factorize(self.keys)
+        order = np.argsort(seen)
+        self.words, rank = seen[order], np.empty(len(seen), np.int64)
+        rank[order] = np.arange(len(seen))
+        word = rank[met]
         n = W.U(max(1, len(self.words)))
         at = np.flatnonzero(self.back >= 1)
         pairs, pair = np.unique(word[at - 1].astype(W.U) * n + word[at].astype(W.U), return_inverse=True)
@@ -114,6 +119,8 @@ class Grams:
         deep = np.flatnonzero(self.back >= 2)
         triples, triple = np.unique(pair_at[deep - 1].astype(W.U) * n + word[deep].astype(W.U), return_inverse=True)
         self.triples = (triples // n).astype(np.int64), (triples % n).astype(np.int64)
+        self.last = np.zeros(len(triples), np.int64)  # the pair of the second and third word
+        self.last[triple] = pair_at[deep]
         self.tokens = [(np.arange(len(word)), word), (at, pair), (deep, triple)]
         self.sizes = [len(self.words), len(pairs), len(triples)]
 
@@ -172,7 +179,7 @@ def _score(table: pa.Table, answers: pa.Table, corpus: Corpus, prior: float) ->
     p1 = (one + 1) / total
     (a, b), (ab, c) = grams.pairs, grams.triples
     p2 = (two + prior * p1[b]) / (one[a] + prior)
-    bc = np.searchsorted(a * len(one) + b, b[ab] * len(one) + c)  # the pair of the second and third word
+    bc = grams.last
     p3 = (three + prior * p2[bc]) / (two[ab] + prior)
 
     # The trie holds what was seen in training: ids, then places, among those.
@@ -186,10 +193,14 @@ def _score(table: pa.Table, answers: pa.Table, corpus: Corpus, prior: float) ->
         [Trie.quantised(prior / (n[s] + prior)) for n, s in ((one, seen1), (two, seen2))],
     )
     try:
-        score = np.concatenate([np.zeros(1), np.cumsum(trie.score(grams.keys, grams.back, float(np.log10(1 / total))))])
+        each = trie.score(grams.words, grams.pairs, grams.triples, bc, float(np.log10(1 / total)))
     finally:
         trie.close()
     word = grams.tokens[0][1]
+    by_token = each[0][word]
+    for (at, which), values in zip(grams.tokens[1:], each[1:], strict=True):  # with all the context that a token has
+        by_token[at] = values[which]
+    score = np.concatenate([np.zeros(1), np.cumsum(by_token)])
     base = np.concatenate([np.zeros(1), np.cumsum(np.log10(p1[word]))])
     known = np.concatenate([[0], np.cumsum(seen1[word])])
     edges = grams.offsets
