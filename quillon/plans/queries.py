@@ -250,6 +250,25 @@ def chunk_boost(spark, sf):
     return kept.select("doc_id", T.chunk_boost(F.col("n")).alias("boost"))
 
 
+TITLE_QUERY_SQL = f"""asked AS (SELECT id AS qid, title AS query FROM docs), prepared AS (SELECT qid, query AS phrase, {TOKENS.format('query')} AS tokens FROM asked)"""
+
+
+@query(f"""WITH {INDEX_SQL}, {TITLE_QUERY_SQL}, {BM25_SQL}, own AS (SELECT a.qid, f.rank FROM asked a LEFT JOIN fts f ON f.qid = a.qid AND f.doc_id = a.qid)
+SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS at_3,
+round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS at_10, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6) AS mrr_10 FROM own""")
+def title_recall_eval(spark, sf):
+    docs = corpus.documents(spark, sf)
+    titles = docs.select(F.col("id").alias("qid"), F.col("title").alias("query"))
+    found = S.title_recall(S.fts_arm(I.build(docs), S.prepare_queries(titles), 10), titles)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("at_1", "at_3", "at_10", "mrr_10")])
+
+
+@query()
+def snippet(spark, sf):
+    docs, asked = corpus.documents(spark, sf), S.prepare_queries(bench_queries(spark, sf))
+    return S.snippets(S.fts_arm(I.build(docs), asked, 10), docs, asked)
+
+
 # --- scalar functions
 
 @query(f"SELECT doc_id, len({TOKENS.format('text')}) AS n, md5(array_to_string({TOKENS.format('text')}, ' ')) AS digest FROM documents")
