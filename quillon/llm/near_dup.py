@@ -51,6 +51,19 @@ def shingles_of(texts: W.Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return owner[new], hashes[new], np.diff(np.append(new, len(owner)))
 
 
+def shingles_by_slices(column: pa.Array | pa.ChunkedArray, size: int, most: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As shingles_of, in slices of about `most` bytes, so that byte tables stay small."""
+    parts, before = [], 0
+    for chunk in pa.table({"text": column}).combine_chunks().to_batches():
+        for part in W.pieces(chunk, most=most):
+            owner, hashes, counts = shingles_of(W.texts_of(part.column("text")), size)
+            parts.append((owner + before, hashes, counts))
+            before += part.num_rows
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, W.U), np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def signatures(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, texts: int, m: int) -> np.ndarray:
     """A BagMinHash signature of m components for every text; 0 where a text has no shingle."""
     out = np.zeros((texts, m), W.U)
@@ -114,13 +127,13 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, share: tuple[int, int]
     """Pairs whose multiset overlap is at least share[0] / share[1] of their union; the shingles of a hub are kept while it lasts."""
     held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for part in W.pieces(batch, "text_b"):
+        for part in W.pieces(batch, "text_b", 500_000):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             new = [i for i in range(len(a)) if (i == 0 or a[i] != a[i - 1]) and a[i] not in held]
             held = {k: v for k, v in held.items() if k == a[0]}
             new = [i for i in range(len(a)) if (i == 0 or a[i] != a[i - 1]) and a[i] not in held]
             for column, names, rows, keep in (("text_a", a, new, held), ("text_b", b, range(len(b)), others := {})):
-                owner, hashes, counts = shingles_of(W.texts_of(part.column(column).take(pa.array(list(rows), pa.int64()))), size)
+                owner, hashes, counts = shingles_by_slices(part.column(column).take(pa.array(list(rows), pa.int64())), size)
                 edges = np.searchsorted(owner, np.arange(len(rows) + 1))
                 for j, i in enumerate(rows):
                     keep[names[i]] = hashes[edges[j] : edges[j + 1]], counts[edges[j] : edges[j + 1]]
@@ -144,14 +157,14 @@ def _links(table: pa.Table, size: int, share: tuple[int, int]) -> pa.Table:
     found: list[tuple[bytes, bytes]] = []
     if few.num_rows and many.num_rows:
         band = table.column("band")[0].as_py()
-        owner, hashes, counts = shingles_of(W.texts_of(many.column("text")), size)
+        owner, hashes, counts = shingles_by_slices(many.column("text"), size)
         total = np.bincount(owner, counts, many.num_rows)
         order = np.argsort(hashes, kind="stable")
         owner, hashes, counts = owner[order], hashes[order], counts[order]
         keys, labels = many.column("key").to_pylist(), np.array(many.column("label").to_pylist(), object)
         main = np.array(many.column("main").to_pylist(), bool)
         bands = np.array(many.column("bands").to_pylist(), np.int64)
-        own, own_hashes, own_counts = shingles_of(W.texts_of(few.column("text")), size)
+        own, own_hashes, own_counts = shingles_by_slices(few.column("text"), size)
         edges = np.searchsorted(own, np.arange(few.num_rows + 1))
         for i, (key, label, own_bands) in enumerate(zip(few.column("key").to_pylist(), few.column("label").to_pylist(), few.column("bands").to_pylist(), strict=True)):
             h, c = own_hashes[edges[i] : edges[i + 1]], own_counts[edges[i] : edges[i + 1]]

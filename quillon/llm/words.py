@@ -85,7 +85,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data, offsets - offsets[0])
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each, so that a numpy table stays small."""
     if not batch.num_rows:
         return
