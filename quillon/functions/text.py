@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,13 @@ DETECT_WORDS = {
 }
 
 
+#: Lower-case Latin letters with one mark, and the letters without it, place by place: what FTS5's unicode61 folds.
+_LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+_PARTS = {c: unicodedata.normalize("NFD", c) for c in _LATIN if c == c.lower()}
+MARKED = "".join(c for c, parts in _PARTS.items() if len(parts) == 2 and parts[0].isascii())
+PLAIN = "".join(_PARTS[c][0] for c in MARKED)
+
+
 def stop_words(lang: str) -> list[str]:
     return STOP_WORDS.get(lang, "").split()
 
@@ -49,6 +58,11 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def fold_diacritics(token: Column) -> Column:
+    """A lower-cased token without the marks of its Latin letters; most tokens have none and are passed on."""
+    return F.when(token.rlike(r"[^\x00-\x7F]"), F.translate(token, MARKED, PLAIN)).otherwise(token)
+
+
 def _without(tokens: Column, words: Column) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(words, t))
 

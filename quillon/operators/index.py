@@ -7,16 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import tokenize
+from quillon.functions.text import fold_diacritics, tokenize
 
 
 @dataclass
 class Index:
-    """postings: term, doc_id, title_tf, content_tf.  lengths: doc_id, length.  stats: one row, n_docs, mean_length."""
+    """postings: term, doc_id, title_tf, content_tf.  lengths: doc_id, length.  stats: one row, n_docs, mean_length.
+
+    folded: terms have no diacritics, and those of a query are folded likewise.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    folded: bool = False
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
@@ -24,14 +28,15 @@ def tokens_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").alias("doc_id"), tokenize(F.col("title")).alias("title_tokens"), tokenize(F.col("content")).alias("content_tokens"))
 
 
-def build(docs: DataFrame) -> Index:
+def build(docs: DataFrame, folded: bool = True) -> Index:
     """Postings are aggregated before the shuffle; lengths and statistics need no shuffle of tokens."""
     tokens = tokens_of(docs)
     marked = F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("title"))), F.transform("content_tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("title"))))
     each = tokens.select("doc_id", F.explode(marked).alias("t"))
-    postings = each.groupBy(F.col("t.term").alias("term"), "doc_id").agg(F.sum("t.title").alias("title_tf"), F.sum(1 - F.col("t.title")).alias("content_tf"))
+    term = fold_diacritics(F.col("t.term")) if folded else F.col("t.term")
+    postings = each.groupBy(term.alias("term"), "doc_id").agg(F.sum("t.title").alias("title_tf"), F.sum(1 - F.col("t.title")).alias("content_tf"))
     lengths = tokens.select("doc_id", (F.size("title_tokens") + F.size("content_tokens")).cast("long").alias("length"))
-    return Index(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")))
+    return Index(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")), folded)
 
 
 def positions(docs: DataFrame, column: str = "content") -> DataFrame:

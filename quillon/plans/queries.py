@@ -43,6 +43,9 @@ each AS (SELECT doc_id, unnest(tt) AS term, 1 AS title FROM tok UNION ALL SELECT
 postings AS (SELECT term, doc_id, sum(title) AS title_tf, sum(1 - title) AS content_tf FROM each GROUP BY ALL),
 lengths AS (SELECT doc_id, len(tt) + len(ct) AS length FROM tok),
 cstats AS (SELECT count(*) AS n_docs, avg(length) AS mean_length FROM lengths)"""
+# The index as full text is searched, with diacritics folded; the SQL above and its queries leave them in.
+FOLD = f"translate({{0}}, '{T.MARKED}', '{T.PLAIN}')"
+FOLDED_INDEX_SQL = INDEX_SQL.replace("postings AS (SELECT term,", f"postings AS (SELECT {FOLD.format('term')} AS term,")
 BENCH_SQL = f"""asked AS (SELECT item_id AS qid, array_to_string({TOKENS.format('text')}[1:2], ' ') AS query FROM benchmark),
 prepared AS (SELECT qid, query AS phrase, {TOKENS.format('query')} AS tokens, trim(regexp_replace(lower(trim(query)), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '-') AS slug FROM asked)"""
 ONE_SQL = f"asked AS (SELECT 1 AS qid, 'there ering' AS query), prepared AS (SELECT qid, query AS phrase, {TOKENS.format('query')} AS tokens, replace(query, ' ', '-') AS slug FROM asked)"
@@ -55,6 +58,7 @@ parts AS (SELECT qid, doc_id, greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-
 summed AS (SELECT qid, doc_id, round(sum(s), 9) AS score, count(*) AS n FROM parts GROUP BY ALL),
 bm AS (SELECT qid, doc_id, score FROM summed JOIN (SELECT qid, count(*) AS wanted FROM terms GROUP BY qid) USING (qid) WHERE n = wanted),
 fts AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 10)"""
+FOLDED_BM25_SQL = BM25_SQL.replace("unnest(tokens) AS prefix", f"unnest(list_transform(tokens, lambda t: {FOLD.format('t')})) AS prefix")
 KNN_SQL = """pairs AS (SELECT qid, chunk_id, doc_id, round(sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS dist FROM chunks, qv),
 knn AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 50),
 best AS (SELECT qid, doc_id, min(dist) AS dist, arg_min(chunk_id, rank) AS chunk_id, CAST(least(count(*), 3) AS INTEGER) AS n_chunks FROM knn GROUP BY ALL),
@@ -102,27 +106,27 @@ def fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEX_SQL}, {ONE_SQL}, {BM25_SQL} SELECT qid, rank, doc_id, round(score, 6) AS score FROM fts")
 def bm25_topk(spark, sf):
-    index = I.build(corpus.documents(spark, sf))
+    index = I.build(corpus.documents(spark, sf), folded=False)
     asked = S.prepare_queries(spark.createDataFrame([(1, "there ering")], "qid int, query string"))
     return S.fts_arm(index, asked, 10).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {INDEX_SQL}, {BENCH_SQL}, {BM25_SQL} SELECT qid, rank, doc_id, round(score, 6) AS score FROM fts")
 def bm25_batch(spark, sf):
-    return S.fts_arm(I.build(corpus.documents(spark, sf)), S.prepare_queries(bench_queries(spark, sf)), 10).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return S.fts_arm(I.build(corpus.documents(spark, sf), folded=False), S.prepare_queries(bench_queries(spark, sf)), 10).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {INDEX_SQL}, {BENCH_SQL}, {BM25_SQL} SELECT qid, rank, doc_id, round(score, 6) AS score FROM fts JOIN docs ON id = doc_id WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')")
 def bm25_filtered(spark, sf):
     docs = corpus.documents(spark, sf)
-    hits = S.fts_arm(I.build(docs), S.prepare_queries(bench_queries(spark, sf)), 10)
+    hits = S.fts_arm(I.build(docs, folded=False), S.prepare_queries(bench_queries(spark, sf)), 10)
     kept = S.Filter(("src1", "src2", "src3"), "", "en").apply(docs).select(F.col("id").alias("doc_id"))
     return hits.join(kept, "doc_id", "left_semi").select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {INDEX_SQL}, {BENCH_SQL}, {BM25_SQL} SELECT qid, count(*) AS n_docs FROM bm GROUP BY qid")
 def fts_prefix_and(spark, sf):
-    return S.bm25(I.build(corpus.documents(spark, sf)), S.prepare_queries(bench_queries(spark, sf))).groupBy("qid").agg(F.count("*").alias("n_docs"))
+    return S.bm25(I.build(corpus.documents(spark, sf), folded=False), S.prepare_queries(bench_queries(spark, sf))).groupBy("qid").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"WITH {DOCS_SQL}, {TOK_SQL}, {BENCH_SQL}, {PHRASE_SQL} SELECT qid, doc_id FROM phr")
@@ -142,9 +146,19 @@ def exact_title_or_slug(spark, sf):
 
 @query(f"WITH {INDEX_SQL} SELECT term, count(*) AS n_docs, CAST(sum(title_tf) AS BIGINT) AS title_tf, CAST(sum(content_tf) AS BIGINT) AS content_tf FROM postings GROUP BY term")
 def inverted_index(spark, sf):
+    return I.build(corpus.documents(spark, sf), folded=False).postings.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("title_tf").alias("title_tf"), F.sum("content_tf").alias("content_tf"))
+
+
+@query(f"WITH {FOLDED_INDEX_SQL} SELECT term, count(*) AS n_docs, CAST(sum(title_tf) AS BIGINT) AS title_tf, CAST(sum(content_tf) AS BIGINT) AS content_tf FROM postings GROUP BY term")
+def inverted_index_folded(spark, sf):
     return I.build(corpus.documents(spark, sf)).postings.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("title_tf").alias("title_tf"), F.sum("content_tf").alias("content_tf"))
 
 
+@query(f"WITH {FOLDED_INDEX_SQL}, {BENCH_SQL}, {FOLDED_BM25_SQL} SELECT qid, rank, doc_id, round(score, 6) AS score FROM fts")
+def bm25_batch_folded(spark, sf):
+    return S.fts_arm(I.build(corpus.documents(spark, sf)), S.prepare_queries(bench_queries(spark, sf)), 10).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 # --- vectors
 
 @query(f"WITH {CHUNKS_SQL}, {QV_50}, {KNN_SQL} SELECT qid, rank, chunk_id, round(dist, 6) AS dist FROM knn")
@@ -192,7 +206,7 @@ HYBRID_SQL = f"{INDEX_SQL}, {CHUNKS_SQL}, {BENCH_SQL}, {QV_BENCH}, {BM25_SQL}, {
 def fused_bench(spark, sf):
     docs = corpus.documents(spark, sf)
     asked = S.prepare_queries(bench_queries(spark, sf))
-    fts = S.fts_arm(I.build(docs), asked, 10)
+    fts = S.fts_arm(I.build(docs, folded=False), asked, 10)
     vec = S.dedup_documents(S.vector_arm(corpus.chunks(spark, sf), bench_vectors(spark, sf), 10))
     return S.fuse(fts, vec, S.exact_arm(docs, asked, 10))
 
@@ -220,7 +234,7 @@ REASONS_SQL = """array_to_string(list_filter([CASE WHEN in_text THEN 'fts_conten
 @query(f"WITH {HYBRID_SQL}, {PHRASE_SQL}, {BOOST_SQL} SELECT qid, {RESULT_SQL}, doc_id, round(score, 6) AS score, {REASONS_SQL} AS reasons FROM boosted QUALIFY rank <= 10")
 def hybrid_search(spark, sf):
     docs = corpus.documents(spark, sf)
-    engine = S.HybridSearch(docs, I.build(docs), corpus.chunks(spark, sf))
+    engine = S.HybridSearch(docs, I.build(docs, folded=False), corpus.chunks(spark, sf))
     found = engine.search_many(bench_queries(spark, sf), bench_vectors(spark, sf), F.lit(NOW).cast("timestamp"))
     return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), F.array_join("match_reasons", ",").alias("reasons"))
 
@@ -228,7 +242,7 @@ def hybrid_search(spark, sf):
 @query(f"WITH {HYBRID_SQL}, {PHRASE_SQL}, {BOOST_SQL} SELECT qid, {RESULT_SQL}, doc_id, round(score, 6) AS score FROM boosted WHERE lang = 'en' QUALIFY rank <= 10")
 def hybrid_search_filtered(spark, sf):
     docs = corpus.documents(spark, sf)
-    engine = S.HybridSearch(docs, I.build(docs), corpus.chunks(spark, sf))
+    engine = S.HybridSearch(docs, I.build(docs, folded=False), corpus.chunks(spark, sf))
     found = engine.search_many(bench_queries(spark, sf), bench_vectors(spark, sf), F.lit(NOW).cast("timestamp"), where=S.Filter(lang="en"))
     return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
@@ -259,14 +273,14 @@ round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS at_10, round(avg(CA
 def title_recall_eval(spark, sf):
     docs = corpus.documents(spark, sf)
     titles = docs.select(F.col("id").alias("qid"), F.col("title").alias("query"))
-    found = S.title_recall(S.fts_arm(I.build(docs), S.prepare_queries(titles), 10), titles)
+    found = S.title_recall(S.fts_arm(I.build(docs, folded=False), S.prepare_queries(titles), 10), titles)
     return found.select("n", *[F.round(c, 6).alias(c) for c in ("at_1", "at_3", "at_10", "mrr_10")])
 
 
 @query()
 def snippet(spark, sf):
     docs, asked = corpus.documents(spark, sf), S.prepare_queries(bench_queries(spark, sf))
-    return S.snippets(S.fts_arm(I.build(docs), asked, 10), docs, asked)
+    return S.snippets(S.fts_arm(I.build(docs, folded=False), asked, 10), docs, asked)
 
 
 # --- scalar functions
