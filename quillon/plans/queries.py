@@ -48,6 +48,10 @@ FOLD = f"translate({{0}}, '{T.MARKED}', '{T.PLAIN}')"
 FOLDED_INDEX_SQL = INDEX_SQL.replace("postings AS (SELECT term,", f"postings AS (SELECT {FOLD.format('term')} AS term,")
 BENCH_SQL = f"""asked AS (SELECT item_id AS qid, array_to_string({TOKENS.format('text')}[1:2], ' ') AS query FROM benchmark),
 prepared AS (SELECT qid, query AS phrase, {TOKENS.format('query')} AS tokens, trim(regexp_replace(lower(trim(query)), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '-') AS slug FROM asked)"""
+# Whole benchmark texts as queries; BENCH_SQL asks for their first two words.
+WHOLE_SQL = f"""asked AS (SELECT item_id AS qid, trim(text) AS t FROM benchmark),
+phrased AS (SELECT qid, CASE WHEN len(t) > 1 AND t[1] = t[-1] AND t[1] IN ('"', '''') THEN t[2:-2] ELSE t END AS phrase FROM asked),
+prepared AS (SELECT qid, phrase, {TOKENS.format('phrase')} AS tokens, trim(regexp_replace(lower(trim(phrase)), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '-') AS slug FROM phrased)"""
 ONE_SQL = f"asked AS (SELECT 1 AS qid, 'there ering' AS query), prepared AS (SELECT qid, query AS phrase, {TOKENS.format('query')} AS tokens, replace(query, ' ', '-') AS slug FROM asked)"
 BM25_SQL = """terms AS (SELECT DISTINCT qid, unnest(tokens) AS prefix FROM prepared),
 expanded AS (SELECT qid, prefix, term FROM (SELECT DISTINCT term FROM postings) JOIN terms ON starts_with(term, prefix)),
@@ -92,6 +96,11 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
 
 
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text, as it is."""
+    return corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
 def bench_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
     return items.join(corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid")
@@ -134,6 +143,16 @@ def phrase_match(spark, sf):
     return S.phrase_arm(corpus.documents(spark, sf), S.prepare_queries(bench_queries(spark, sf)), 10)
 
 
+@query(f"WITH {DOCS_SQL}, {TOK_SQL}, {WHOLE_SQL}, {PHRASE_SQL} SELECT qid, doc_id FROM phr")
+def phrase_match_whole(spark, sf):
+    return S.phrase_arm(corpus.documents(spark, sf), S.prepare_queries(whole_queries(spark, sf)), 10)
+
+
+@query(f"WITH {FOLDED_INDEX_SQL}, {WHOLE_SQL}, {FOLDED_BM25_SQL} SELECT qid, rank, doc_id, round(score, 6) AS score FROM fts")
+def bm25_batch_whole(spark, sf):
+    return S.fts_arm(I.build(corpus.documents(spark, sf)), S.prepare_queries(whole_queries(spark, sf)), 10).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 TITLES_SQL = f"{DOCS_SQL}, prepared AS (SELECT id AS qid, title AS phrase, trim(regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '-') AS slug FROM docs)"
 
 
@@ -247,6 +266,17 @@ def hybrid_search_filtered(spark, sf):
     return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+WHOLE_HYBRID_SQL = f"{FOLDED_INDEX_SQL}, {CHUNKS_SQL}, {WHOLE_SQL}, {QV_BENCH}, {FOLDED_BM25_SQL}, {KNN_SQL}, {EXACT_SQL}, {FUSE_SQL}, {PHRASE_SQL}, {BOOST_SQL}"
+
+
+@query(f"WITH {WHOLE_HYBRID_SQL} SELECT qid, {RESULT_SQL}, doc_id, round(score, 6) AS score, {REASONS_SQL} AS reasons FROM boosted QUALIFY rank <= 10")
+def hybrid_search_whole(spark, sf):
+    docs = corpus.documents(spark, sf)
+    engine = S.HybridSearch(docs, I.build(docs), corpus.chunks(spark, sf))
+    found = engine.search_many(whole_queries(spark, sf), bench_vectors(spark, sf), F.lit(NOW).cast("timestamp"))
+    return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), F.array_join("match_reasons", ",").alias("reasons"))
+
+
 @query(f"WITH {DOCS_SQL}, {TOK_SQL}, p AS (SELECT ['the', 'ering', 'les'] AS tokens) SELECT doc_id, round(1 + 0.5::DOUBLE * len(list_intersect(tt, tokens)) / 3, 6) AS boost FROM tok, p")
 def title_boost(spark, sf):
     asked = F.array(F.lit("the"), F.lit("ering"), F.lit("les"))
