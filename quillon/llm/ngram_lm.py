@@ -15,8 +15,11 @@ own training counts to shards of the key range, which add up the counts of the
 whole corpus and answer them.  From the answers each group builds a trie of
 the n-grams that its texts need, with probabilities quantised to steps of 1/16
 in log10 and levels mapped from files, and queries it for every token.  No
-task, and not the driver, holds the counts of all documents.  Keys have as
-many bits as make the share of false matches 2**-20 at any size of the corpus.
+task, and not the driver, holds the counts of all documents.  Words keep their
+64-bit keys and are counted apart, so that known words and base scores are as
+exact as those.  Keys of pairs and triples have as many bits as make the share
+of false matches at most 2**-19 at any size of the corpus: up to 2 N distinct
+ones on at least 2**20 N places.
 
 Defined results: a null or empty text is the end token alone; rows with equal
 ids are texts of their own; a null id counts as training (the checksum of no
@@ -44,7 +47,7 @@ GROUP_BYTES = 8_000_000
 
 @dataclass(frozen=True)
 class Corpus:
-    """Training tokens, distinct ones, and how many bits keys have."""
+    """Training tokens, distinct ones, and how many bits keys of pairs and triples have."""
 
     tokens: int
     distinct: int
@@ -125,11 +128,11 @@ class Grams:
         self.sizes = [len(self.words), len(pairs), len(triples)]
 
     def hashes(self, bits: int) -> np.ndarray:
-        """Keys of all n-grams, one order after another, of `bits` bits at the top of the key range."""
+        """Keys of pairs, then triples, of `bits` bits at the top of the key range."""
         first, second = self.words[self.pairs[0]], self.words[self.pairs[1]]
         pair = W.mix(first * W.WORD_BASE + W.mix(second))
         triple = W.mix(pair[self.triples[0]] * W.ALT_BASE + self.words[self.triples[1]]) if self.sizes[2] else np.zeros(0, W.U)
-        return np.concatenate([self.words, pair, triple]) >> W.U(64 - bits) << W.U(64 - bits)
+        return np.concatenate([pair, triple]) >> W.U(64 - bits) << W.U(64 - bits)
 
     def counts(self, held_out: np.ndarray) -> np.ndarray:
         """How often each n-gram stands in the training texts of the group."""
@@ -144,11 +147,14 @@ def _held(table: pa.Table) -> np.ndarray:
 def _state(table: pa.Table, bits: int, shards: int) -> pa.Table:
     table = in_order(table)
     grams = Grams(table)
+    words, more = np.split(grams.counts(_held(table)), grams.sizes[:1])
     keys, where = np.unique(grams.hashes(bits), return_inverse=True)
-    counts = np.bincount(where, grams.counts(_held(table)), len(keys)).astype(np.uint32)
+    counts = np.bincount(where, more, len(keys)).astype(np.uint32)
+    # Shards of words are numbered below zero: -1 for the first.
+    rows = [(-1 - s, pack_keys(grams.words[a:b]), planes(words[a:b].astype(np.uint32))) for s, a, b in shard_edges(grams.words, shards)]
+    edges = shard_edges(keys, shards)
     keys >>= W.U(64 - bits)
-    edges = shard_edges(keys << W.U(64 - bits), shards)
-    rows = [(s, pack_keys(keys[a:b]), planes(counts[a:b])) for s, a, b in edges]
+    rows += [(s, pack_keys(keys[a:b]), planes(counts[a:b])) for s, a, b in edges]
     g = table.column("g")[0].as_py()
     return pa.table({"g": pa.array([g] * len(rows), pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -171,9 +177,10 @@ def _score(table: pa.Table, answers: pa.Table, corpus: Corpus, prior: float) ->
     table = in_order(table)
     grams = Grams(table)
     _, where = np.unique(grams.hashes(corpus.bits), return_inverse=True)
-    blocks = answers.sort_by("shard").column("counts").to_pylist()
-    counts = np.concatenate([unplanes(b) for b in blocks])[where].astype(float)
-    one, two, three = np.split(counts, np.cumsum(grams.sizes)[:-1])
+    blocks = dict(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+    stated = lambda shards: np.concatenate([np.zeros(0, np.uint64), *(unplanes(blocks[s]) for s in shards)])
+    one = stated(sorted((s for s in blocks if s < 0), reverse=True)).astype(float)
+    two, three = np.split(stated(sorted(s for s in blocks if s >= 0))[where].astype(float), grams.sizes[1:2])
 
     total = corpus.tokens + corpus.distinct + 1
     p1 = (one + 1) / total

@@ -185,6 +185,14 @@ def test_ngram_scores(docs, rows, monkeypatch):
     assert ngram_lm.score_texts(docs.limit(0)).count() == 0
 
 
+def test_words_are_exact_however_short_the_keys(docs, monkeypatch):
+    full = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in ngram_lm.score_texts(docs).collect()}
+    whole = ngram_lm.corpus_of
+    monkeypatch.setattr(ngram_lm, "corpus_of", lambda own, shards: whole(own, shards, false_bits=-4))
+    got = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in ngram_lm.score_texts(docs).collect()}
+    assert got == full
+
+
 def test_shards(docs, rows, none):
     got = shards.assign(docs, shards=4, cell_groups=16).toPandas()
     assert len(got) == len(rows)
