@@ -305,6 +305,16 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score_texts(docs.limit(0), plain).count() == 0
 
 
+def test_repeated_rows_do_not_push_out_labelled_texts(spark):
+    from quillon.llm.samples import labelled_sample
+
+    docs = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.lit("again").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "two"), (3, "three"), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
+    found, sizes = labelled_sample(docs, labels, F.col("toxic"), F.lit(True), 3, [0, 1])
+    assert found == [(1, 0, "again"), (2, 1, "two"), (3, 0, "three"), (4, 1, "")] and sizes == {0: 2, 1: 2}
+
+
 def test_repeats(docs, rows, none, monkeypatch):
     monkeypatch.setattr(exchange, "GROUP_BYTES", 3_000)
     got = collections.Counter((-2**63 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substrings.remove_repeats(docs).collect())
