@@ -376,7 +376,7 @@ items AS (SELECT conv_id, texts[1] AS title, coalesce(texts[2], '') AS body, tex
 def conversation_items(spark, sf):
     """Conversations as items: the first turn is the title, the second the body, the others comments."""
     turns = corpus.table(spark, sf, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: s["text"]).alias("texts"))
-    return turns.select("conv_id", F.col("texts")[0].alias("title"), F.coalesce(F.get("texts", F.lit(1)), F.lit("")).alias("body"), F.slice("texts", 3, 1_000_000).alias("comments"))
+    return turns.select("conv_id", F.col("texts")[0].alias("title"), F.coalesce(F.get("texts", F.lit(1)), F.lit("")).alias("body"), F.slice("texts", F.lit(3), F.size("texts")).alias("comments"))
 
 
 @query(f"WITH {ITEM_SQL} SELECT conv_id, md5(array_to_string(list_concat([title], list_filter(list_concat([body], comments), lambda x: x <> '')), chr(10))) AS digest FROM items")
