@@ -14,7 +14,8 @@ then the order within the one bucket where the budget ends.
 The leaves' totals are gathered on the driver; `most_leaves` bounds them.
 
 Defined results: a null domain, language or source is a value of its own; a
-null or empty text has 0 tokens and comes with its epoch; repeated rows are
+null or empty text has 0 tokens and comes with its epoch, and a leaf without any
+tokens comes once, as epoch 0, if its weights are positive; repeated rows are
 documents of their own; weights not stated are 1, negative ones are errors; an
 empty table gives an empty result.  All columns of the input are kept, and one
 of the name of the epoch column is replaced.
@@ -99,7 +100,8 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[Path, float], share: f
     supply = {(r._domain, r._lang, r._source): int(r.t or 0) for r in totals}
     plan = budgets(supply, weights, share * sum(supply.values()), epochs)
     spark = docs.sparkSession
-    whole = {leaf: (b // supply[leaf] if supply[leaf] else 0, b % supply[leaf] if supply[leaf] else 0) for leaf, b in plan.items()}
+    wanted = lambda leaf: all(weights.get(leaf[:n], 1.0) > 0 for n in range(1, len(leaf) + 1))
+    whole = {leaf: divmod(b, supply[leaf]) if supply[leaf] else (int(wanted(leaf)), 0) for leaf, b in plan.items()}
     table = spark.createDataFrame([(*leaf, int(e), int(rest)) for leaf, (e, rest) in whole.items()], "d string, l string, s string, full int, rest long")
 
     def with_plan(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:

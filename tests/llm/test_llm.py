@@ -360,6 +360,13 @@ def test_mix(docs, rows, none):
     assert mixing.mix(none, F.lit("d"), {}).count() == 0
 
 
+def test_mix_keeps_leaves_without_tokens(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, None, "en", "empty"), (3, " ", "en", "empty"), (4, "", "de", "off")], "doc_id long, text string, lang string, source string")
+    for share, epochs in ((1.0, 1), (1.0, 2), (2.0, 2)):
+        got = mixing.mix(docs, F.lit("d"), {("d", "de"): 0.0}, share=share, epochs=epochs)
+        assert sorted((r.doc_id, r.epoch) for r in got.filter("doc_id > 1").collect()) == [(2, 0), (3, 0)]
+
+
 def test_ordinal_grades(spark):
     rng = np.random.default_rng(8)
     marks = ["bad", "fair", "fine"]
