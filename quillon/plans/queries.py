@@ -277,6 +277,19 @@ def hybrid_search_whole(spark, sf):
     return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), F.array_join("match_reasons", ",").alias("reasons"))
 
 
+@query()
+def hybrid_search_stemmed(spark, sf):
+    """Whole texts, stop-worded and stemmed, over stemmed titles and contents."""
+    from quillon.functions.stem import stem_texts
+
+    docs = corpus.documents(spark, sf)
+    stems = lambda source, name: stem_texts(docs, source).select("id", F.col("stemmed").alias(name))
+    docs = docs.drop("content").join(stems("title", "stemmed_title"), "id").join(stems("content", "content"), "id")
+    engine = S.HybridSearch(docs, I.build(docs.withColumn("title", F.col("stemmed_title"))), corpus.chunks(spark, sf))
+    found = engine.search_many(whole_queries(spark, sf), bench_vectors(spark, sf), F.lit(NOW).cast("timestamp"), stemmed=True)
+    return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"), F.array_join("match_reasons", ",").alias("reasons"))
+
+
 @query(f"WITH {DOCS_SQL}, {TOK_SQL}, p AS (SELECT ['the', 'ering', 'les'] AS tokens) SELECT doc_id, round(1 + 0.5::DOUBLE * len(list_intersect(tt, tokens)) / 3, 6) AS boost FROM tok, p")
 def title_boost(spark, sf):
     asked = F.array(F.lit("the"), F.lit("ering"), F.lit("les"))
