@@ -714,5 +714,8 @@ def markdown_parse(spark, sf):
 @query()
 def embed_mock(spark, sf):
     from quillon.functions.embed import embed_all
+    from quillon.functions.markdown import chunk_all
 
-    return embed_all(corpus.table(spark, sf, "benchmark"), "mock", "item_id", "text").select("item_id", F.round(F.col("embedding")[0], 5).alias("first"))
+    pieces = chunk_all(corpus.documents(spark, sf)).withColumn("chunk", F.concat_ws("-", "doc_id", "chunk_index"))
+    digest = F.md5(F.array_join(F.transform("embedding", lambda x: F.format_string("%.5f", x)), " "))
+    return embed_all(pieces, "mock", "chunk", "text").select("chunk", F.size("embedding").alias("n"), digest.alias("digest"))
