@@ -49,7 +49,10 @@ class EliasFano:
         unary = np.zeros(n + (self.universe >> self.low_bits) + 1, bool)
         unary[(values >> U(self.low_bits)).astype(np.int64) + np.arange(n)] = True
         bits = _packed(unary)
-        low = _packed((values[:, None] >> np.arange(self.low_bits, dtype=U) & U(1)).astype(bool).reshape(-1)) if self.low_bits else np.zeros(2, U)
+        low = np.zeros((n, self.low_bits), bool)
+        for b in range(self.low_bits):
+            low[:, b] = values >> U(b) & U(1)
+        low = _packed(low.reshape(-1))
         counts = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
         self.bits, self.low, self.ones = (self._mapped(a, name, folder) for a, name in ((bits, "bits"), (low, "low"), (counts, "ones")))
         self.zeros = np.arange(len(bits) + 1) * 64 - self.ones
@@ -131,74 +134,67 @@ class Siblings:
         self.pointers = EliasFano(pointers, len(ids) + 1, folder / "pointers" if folder else None)
         self.ids = EliasFano(values, int(values[-1]) + 1 if len(values) else 1, folder / "ids" if folder else None)
 
-    def find(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each id among the successors of its context (-1: none), and where these begin."""
-        out, begin = np.full(len(context), -1), np.zeros(len(context), np.int64)
+    def find(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The place of each id among the successors of its context; -1: none."""
+        out = np.full(len(context), -1)
         known = np.flatnonzero(context >= 0)
         if not self.ids.n or not len(known):
-            return out, begin
+            return out
         asked = context[known]
         new = np.flatnonzero(np.diff(asked, prepend=-1))  # each run of one context looks up its range once
         run = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(asked))))
         first, end = self.pointers.access(asked[new]), self.pointers.access(asked[new] + 1)
         base = np.where(first > 0, self.ids.access(np.maximum(first - 1, 0)) + 1, 0)
-        begin[known] = first[run]
-        out[known] = self.ids.find(np.where(ids[known] >= 0, base[run] + ids[known], -1), first[run], end[run])
-        return out, begin
+        out[known] = self.ids.find(base[run] + ids[known], first[run], end[run])
+        return out
 
 
 class Trie:
-    """n-grams up to order 3 with quantised log probabilities, in levels mapped into memory.
+    """Words, pairs and triples with quantised terms of probabilities, in levels mapped into memory.
 
-    words: sorted keys of the vocabulary.  pairs: (first, second) word ids, sorted.  triples: (pair, third word id),
-    sorted; the third word is stored as its rank among the successors of the pair's second word.
-    Codes are log10 probabilities, and weights of shorter contexts, in steps of -1/16.
+    The roots are the first words of the pairs given, a monotone sequence of word numbers; below each are the second
+    words, below each pair the third ones.  A code is 1 + 16 * -log10 of a term, 0 for none: of pairs and triples their
+    count over their context's count and prior, of pairs also the weight of the shorter context after them.
+    The files are in a folder of the task's own and removed with it.
     """
 
-    STEP = 16
+    STEP, MOST = 16, 254
 
-    def __init__(self, words: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], codes: list[np.ndarray], weights: list[np.ndarray]) -> None:
+    def __init__(self, first: np.ndarray, second: np.ndarray, context: np.ndarray, third: np.ndarray, two: np.ndarray, three: np.ndarray, one: np.ndarray, priors: tuple[float, float]) -> None:
+        """first, second: sorted pairs; context, third: sorted triples by the index of their pair; one: counts of the first words."""
+        seen, deep = two > 0, three > 0
+        roots, parent = np.unique(first[seen], return_inverse=True)
+        place = np.cumsum(seen) - 1
         self.folder = tempfile.TemporaryDirectory(prefix="trie-")
         root = Path(self.folder.name)
-        self.words = EliasFano._mapped(words, "words", root)
-        self.second = Siblings(*pairs, max(1, len(words)), root / "2")
-        rank = self._rank(pairs[1][triples[0]], triples[1]) if len(triples[0]) else np.zeros(0, np.int64)
-        kept = rank >= 0
-        self.third = Siblings(triples[0][kept], rank[kept], max(1, len(pairs[0])), root / "3")
-        self.codes = [EliasFano._mapped(c, f"codes{i}", root) for i, c in enumerate((codes[0], codes[1], codes[2][kept]))]
-        self.weights = [EliasFano._mapped(w, f"weights{i}", root) for i, w in enumerate(weights)]
-
-    def _rank(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        place, first = self.second.find(context, ids)
-        return np.where(place < 0, -1, place - first)
+        self.roots = EliasFano(roots, int(roots[-1]) + 1 if len(roots) else 1, root / "1")
+        self.second = Siblings(parent, second[seen], max(1, len(roots)), root / "2")
+        self.third = Siblings(place[context[deep]], third[deep], max(1, int(seen.sum())), root / "3")
+        terms = {"pairs": two[seen] / (one[seen] + priors[0]), "weights": priors[1] / (two[seen] + priors[1]), "triples": three[deep] / (two[context[deep]] + priors[1])}
+        self.codes = {k: EliasFano._mapped(self.quantised(t), k, root) for k, t in terms.items()}
 
     @classmethod
-    def quantised(cls, probability: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(-np.log10(probability) * cls.STEP), 0, 255).astype(np.uint8)
-
-    def score(self, words: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], last: np.ndarray, unknown: float) -> list[np.ndarray]:
-        """log10 probabilities of words alone, of pairs' second words and of triples' third words.
-
-        words: sorted keys; pairs: two word indices, triples: a pair's index and a word's, both sorted;
-        last: the index of the pair that each triple ends with.
-        """
-        word = np.full(len(words), -1)
-        if len(self.words) and len(words):
-            place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            word = np.where(self.words[place] == words, place, -1)
-        pair, first = self.second.find(word[pairs[0]], word[pairs[1]])
-        rank = np.where(pair >= 0, pair - first, -1)
-        triple, _ = self.third.find(pair[triples[0]], rank[last])
-        one = np.where(word >= 0, -self._at(self.codes[0], word) / self.STEP, unknown)
-        two = np.where(pair >= 0, -self._at(self.codes[1], pair) / self.STEP, one[pairs[1]] - self._at(self.weights[0], word[pairs[0]]) / self.STEP)
-        three = np.where(triple >= 0, -self._at(self.codes[2], triple) / self.STEP, two[last] - self._at(self.weights[1], pair[triples[0]]) / self.STEP)
-        return [one, two, three]
+    def quantised(cls, term: np.ndarray) -> np.ndarray:
+        return (1 + np.clip(np.rint(-np.log10(term) * cls.STEP), 0, cls.MOST)).astype(np.uint8)
 
-    @staticmethod
-    def _at(values: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return np.where(i >= 0, values[np.maximum(i, 0)], 0).astype(float) if len(values) else np.zeros(len(i))
-
-    def close(self) -> None:
-        """Remove the files."""
-        del self.words, self.second, self.third, self.codes, self.weights
+    @classmethod
+    def value(cls, codes: np.ndarray) -> np.ndarray:
+        table = 10.0 ** (-np.arange(-1, cls.MOST + 1) / cls.STEP)
+        table[0] = 0
+        return table[codes.astype(np.int64)]
+
+    def ask(self, first: np.ndarray, second: np.ndarray, context: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pairs, of the weights after them (1, all of it, after unknown ones) and of triples; the questions are sorted."""
+        new = np.flatnonzero(np.diff(first, prepend=-1))
+        node = np.repeat(self.roots.find(first[new], np.zeros(len(new), np.int64), np.full(len(new), self.roots.n)), np.diff(np.append(new, len(first))))
+        pair = self.second.find(node, second)
+        triple = self.third.find(pair[context], third)
+        pick = lambda name, at, none: np.where(at >= 0, self.codes[name][np.maximum(at, 0)], none) if len(self.codes[name]) else np.full(len(at), none)
+        return pick("pairs", pair, 0), pick("weights", pair, 1), pick("triples", triple, 0)
+
+    def __enter__(self) -> Trie:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        del self.roots, self.second, self.third, self.codes
         self.folder.cleanup()

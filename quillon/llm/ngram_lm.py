@@ -1,25 +1,32 @@
-"""Language-model scores from Elias-Fano n-gram tries.
+"""Language-model scores from Elias-Fano n-gram tries over the counts of the whole corpus.
 
 The model is a trigram model with hierarchical Dirichlet smoothing over an
 add-one unigram model.  With counts c over the training texts, N tokens, V
-distinct tokens and the prior strength s,
+distinct tokens and the prior strengths s2 and s3,
 
     p(w)       = (c(w) + 1) / (N + V + 1)
-    p(w | v)   = (c(v w) + s p(w)) / (c(v) + s)
-    p(w | u v) = (c(u v w) + s p(w | v)) / (c(u v) + s)
+    p(w | v)   = c(v w) / (c(v) + s2)     + s2 / (c(v) + s2)     * p(w)
+    p(w | u v) = c(u v w) / (c(u v) + s3) + s3 / (c(u v) + s3) * p(w | v)
 
 where a text's first token has no context and its second one word of it.
 
-Documents are dealt into groups.  A group states its distinct n-grams with its
-own training counts to shards of the key range, which add up the counts of the
-whole corpus and answer them.  From the answers each group builds a trie of
-the n-grams that its texts need, with probabilities quantised to steps of 1/16
-in log10 and levels mapped from files, and queries it for every token.  No
-task, and not the driver, holds the counts of all documents.  Words keep their
-64-bit keys and are counted apart, so that known words and base scores are as
-exact as those.  Keys of pairs and triples have as many bits as make the share
-of false matches at most 2**-19 at any size of the corpus: up to 2 N distinct
-ones on at least 2**20 N places.
+1. Documents are tokenised once, into written groups of about `GROUP_BYTES` of
+   text: the distinct words of a group and its tokens by their numbers.
+2. Shards of the words' 64-bit keys add up their counts and number them.
+3. Every group states its distinct pairs and triples with its training counts
+   to the shard of the pair (u, v).  A shard builds one trie from the sums, of
+   all n-grams that begin with its pairs: words, pairs and triples in levels of
+   monotone pointers and of word numbers relative to their context, with the
+   first terms of the formulas and the weights of the shorter context quantised
+   to steps of 1/16 in log10, mapped from files.  The trie answers all n-grams
+   that were asked, each distinct one once.
+4. Groups put the answers together.
+
+A key weighs as many times as there are groups that hold it, however frequent
+it is: a third of all rows with one pair are one number from each group.  A
+shard holds whole successor lists, none longer than the vocabulary.  Blocks
+between groups and shards exist only where they hold something.  Words are
+identified by 64-bit keys, pairs and triples by the numbers of their words.
 
 Defined results: a null or empty text is the end token alone; rows with equal
 ids are texts of their own; a null id counts as training (the checksum of no
@@ -34,195 +41,250 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import words as W
 from .elias_fano import Trie
-from .exchange import grouped, in_order, pack_keys, planes, shard_edges, slices, unpack_keys, unplanes
+from .exchange import planes, unplanes
+from .session import written
 
 END = W.mix(np.array([0xE0D], W.U))[0]
-GROUP_BYTES = 8_000_000
+#: Bytes of text in a group, tokens behind a shard of pairs, and behind one of words.
+GROUP_BYTES, SHARD_TOKENS, WORD_TOKENS = 6_000_000, 1_500_000, 12_000_000
+GROUP_SCHEMA = "g long, ids array<long>, held array<boolean>, sizes array<long>, words binary, counts binary, tokens binary, n long"
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Training tokens, distinct ones, and how many bits keys of pairs and triples have."""
+    """Training tokens, distinct ones, the first number of each shard of words, and the shards of pairs."""
 
     tokens: int
     distinct: int
-    bits: int
+    first: np.ndarray
+    shards: int
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token keys of the texts, each with an end token, and the offsets of each text's tokens."""
-    words = W.words_of(W.texts_of(column), lower=True)
-    return np.insert(words.hashes, words.first[1:], END), words.first + np.arange(len(words.first))
-
+# 1. Groups.
 
-def _back(offsets: np.ndarray) -> np.ndarray:
-    """How many tokens of its text stand before each token."""
-    return np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
 
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token keys of the texts, each with an end token, and the number of each text's tokens."""
+    words = W.words_of(W.texts_of(column), lower=True)
+    return np.insert(words.hashes, words.first[1:], END), np.diff(words.first) + 1
+
+
+def group_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of groups, in the order of the rows of a partition."""
+    keys: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    parts: list[pa.RecordBatch] = []
+    held = seq = 0
+    base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+
+    def row() -> pa.RecordBatch:
+        met, words = pd.factorize(np.concatenate(keys))
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        ids, flags = (pa.concat_arrays([p.column(c) for p in parts]) for c in ("doc_id", "held_out"))
+        each = np.concatenate(sizes)
+        counts = np.bincount(rank[met], np.repeat(~flags.to_numpy(zero_copy_only=False), each), len(words)).astype(np.uint32)
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        binary = [pa.array([planes(x)], pa.binary()) for x in (words[order], counts, rank[met])]
+        return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), one(ids), one(flags), one(pa.array(each, pa.int64())), *binary, pa.array([len(met)], pa.int64())], ["g", "ids", "held", "sizes", "words", "counts", "tokens", "n"])
 
-def _stated_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Distinct training words of a partition, in blocks per shard, and the number of its training tokens."""
-    held: list[np.ndarray] = []
-    total = 0
     for batch in batches:
         for part in W.pieces(batch):
-            keys, _ = _tokens(part.column("text"))
-            total += len(keys)
-            held.append(np.unique(keys))
-            if sum(map(len, held)) > 2_000_000:
-                held = [np.unique(np.concatenate(held))]
-    keys = np.unique(np.concatenate(held)) if held else np.zeros(0, W.U)
-    rows = [(s, pack_keys(keys[a:b]), 0) for s, a, b in shard_edges(keys, shards)] + [(0, pack_keys(keys[:0]), total)]
-    yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.int64())})
-
-
-def _count_words(table: pa.Table) -> pa.Table:
-    keys: np.ndarray = np.zeros(0, W.U)
-    for block in table.column("keys").to_pylist():
-        keys = np.union1d(keys, unpack_keys(block))
-    return pa.table({"distinct": pa.array([len(keys)], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
-
-
-def corpus_of(own: DataFrame, shards: int, false_bits: int = 20) -> Corpus:
-    training = own.filter(~F.col("held_out"))
-    stated = training.select("text").mapInArrow(lambda b: _stated_words(b, shards), "shard int, keys binary, n long")
-    sums = stated.groupBy("shard").applyInArrow(_count_words, "distinct long, n long").agg(F.sum("distinct"), F.sum("n")).first()
-    tokens = sums[1] or 0
-    return Corpus(tokens, sums[0] or 0, min(63, tokens.bit_length() + false_bits))
-
-
-class Grams:
-    """Distinct words, pairs and triples of the texts of a group, by local word ids."""
-
-    def __init__(self, table: pa.Table) -> None:
-        keys, sizes = [np.zeros(0, W.U)], [np.zeros(0, np.int64)]
-        for part in slices(table):
-            k, offsets = _tokens(part.column("text"))
+            k, n = _tokens(part.column("text"))
             keys.append(k)
-            sizes.append(np.diff(offsets))
-        self.keys = np.concatenate(keys)
-        self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        self.back = _back(self.offsets)
-        met, seen = pd.factorize(self.keys)
-        order = np.argsort(seen)
-        self.words, rank = seen[order], np.empty(len(seen), np.int64)
-        rank[order] = np.arange(len(seen))
-        word = rank[met]
-        n = W.U(max(1, len(self.words)))
-        at = np.flatnonzero(self.back >= 1)
-        pairs, pair = np.unique(word[at - 1].astype(W.U) * n + word[at].astype(W.U), return_inverse=True)
-        self.pairs = (pairs // n).astype(np.int64), (pairs % n).astype(np.int64)
-        pair_at = np.full(len(word), -1)
-        pair_at[at] = pair
-        deep = np.flatnonzero(self.back >= 2)
-        triples, triple = np.unique(pair_at[deep - 1].astype(W.U) * n + word[deep].astype(W.U), return_inverse=True)
-        self.triples = (triples // n).astype(np.int64), (triples % n).astype(np.int64)
-        self.last = np.zeros(len(triples), np.int64)  # the pair of the second and third word
-        self.last[triple] = pair_at[deep]
-        self.tokens = [(np.arange(len(word)), word), (at, pair), (deep, triple)]
-        self.sizes = [len(self.words), len(pairs), len(triples)]
-
-    def hashes(self, bits: int) -> np.ndarray:
-        """Keys of pairs, then triples, of `bits` bits at the top of the key range."""
-        first, second = self.words[self.pairs[0]], self.words[self.pairs[1]]
-        pair = W.mix(first * W.WORD_BASE + W.mix(second))
-        triple = W.mix(pair[self.triples[0]] * W.ALT_BASE + self.words[self.triples[1]]) if self.sizes[2] else np.zeros(0, W.U)
-        return np.concatenate([pair, triple]) >> W.U(64 - bits) << W.U(64 - bits)
-
-    def counts(self, held_out: np.ndarray) -> np.ndarray:
-        """How often each n-gram stands in the training texts of the group."""
-        training = np.repeat(~held_out, np.diff(self.offsets))
-        return np.concatenate([np.bincount(which[training[at]], minlength=size) for (at, which), size in zip(self.tokens, self.sizes, strict=True)])
-
-
-def _held(table: pa.Table) -> np.ndarray:
-    return np.array(table.column("held_out").to_pylist(), bool)
-
-
-def _state(table: pa.Table, bits: int, shards: int) -> pa.Table:
-    table = in_order(table)
-    grams = Grams(table)
-    words, more = np.split(grams.counts(_held(table)), grams.sizes[:1])
-    keys, where = np.unique(grams.hashes(bits), return_inverse=True)
-    counts = np.bincount(where, more, len(keys)).astype(np.uint32)
-    # Shards of words are numbered below zero: -1 for the first.
-    rows = [(-1 - s, pack_keys(grams.words[a:b]), planes(words[a:b].astype(np.uint32))) for s, a, b in shard_edges(grams.words, shards)]
-    edges = shard_edges(keys, shards)
-    keys >>= W.U(64 - bits)
-    rows += [(s, pack_keys(keys[a:b]), planes(counts[a:b])) for s, a, b in edges]
-    g = table.column("g")[0].as_py()
-    return pa.table({"g": pa.array([g] * len(rows), pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """A shard's answer to each group: the counts of its keys in the whole corpus."""
-    blocks, stated, groups = table.column("keys").to_pylist(), table.column("counts").to_pylist(), table.column("g").to_pylist()
-    keys = [unpack_keys(b) for b in blocks]
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, np.concatenate([unplanes(c, np.uint32) for c in stated]), len(distinct)).astype(np.uint64)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    answers = [planes(a) for a in np.split(total[where], cuts)]
-    return pa.table({"g": pa.array(groups, pa.int32()), "shard": table.column("shard").cast(pa.int32()), "counts": pa.array(answers, pa.binary())})
-
-
-def _score(table: pa.Table, answers: pa.Table, corpus: Corpus, prior: float) -> pa.Table:
+            sizes.append(n)
+            parts.append(part)
+            held += part.column("text").nbytes
+            if held >= most:
+                yield row()
+                keys, sizes, parts, held, seq = [], [], [], 0, seq + 1
+    if parts:
+        yield row()
+
+
+class Group:
+    """A group's tokens and its distinct words, pairs and triples, by ranks among its own sorted words."""
+
+    def __init__(self, row: dict[str, object]) -> None:
+        self.word = unplanes(row["tokens"], np.uint32).astype(np.int64)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.training = np.repeat(~np.array(row["held"], bool), self.sizes)
+
+    def find_grams(self, numbers: np.ndarray, shards: int) -> None:
+        """Pairs in the order of shards, then of words; triples in the order of their first pairs."""
+        n = W.U(len(numbers))
+        word = self.word.astype(W.U)
+        back = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.pair_at = np.flatnonzero(back >= 1)
+        pairs, self.pair = np.unique(word[self.pair_at - 1] * n + word[self.pair_at], return_inverse=True)
+        first, second = (pairs // n).astype(np.int64), (pairs % n).astype(np.int64)
+        shard = (W.mix(numbers[first] << W.U(32) | numbers[second]) >> W.U(32)) * W.U(shards) >> W.U(32)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[self.pair]
+        self.first, self.second, self.shard = first[order], second[order], shard[order].astype(np.int64)
+        which = np.full(len(word), -1)
+        which[self.pair_at] = self.pair
+        self.triple_at = np.flatnonzero(back >= 2)
+        triples, self.triple = np.unique(which[self.triple_at - 1].astype(W.U) * n + word[self.triple_at], return_inverse=True)
+        self.context, self.third = (triples // n).astype(np.int64), (triples % n).astype(np.int64)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each pair and each triple stands in training texts."""
+        return tuple(np.bincount(which[self.training[at]], minlength=size) for at, which, size in ((self.pair_at, self.pair, len(self.first)), (self.triple_at, self.triple, len(self.third))))
+
+
+# 2. Words.
+
+
+def _edges(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard of the key range begins in sorted keys."""
+    return np.concatenate([[0], np.searchsorted(keys, np.array([(s << 64) // shards for s in range(1, shards)], W.U)), [len(keys)]]).astype(np.int64)
+
+
+def _state_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            words = unplanes(row["words"])
+            sizes = np.diff(_edges(words, shards))
+            has = np.flatnonzero(sizes)
+            runs = sizes[has]
+            data = B.pack(np.column_stack([runs, runs]), [B.falls(runs, words), unplanes(row["counts"], np.uint32)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), row["g"])), pa.array(has.astype(np.int32)), data], ["g", "shard", "data"])
+
+
+def _number_words(table: pa.Table) -> pa.Table:
+    """A shard's answer to each group: numbers within the shard and counts of its words; and, as group -1, the shard's sizes."""
+    sizes, (steps, counts) = B.unpack(table.column("data"), 2)
+    runs = sizes[:, 0]
+    keys, where = np.unique(B.rises(runs, steps), return_inverse=True)
+    total = np.bincount(where, counts.astype(float), len(keys)).astype(W.U)
+    data = B.pack(sizes, [B.falls(runs, where), total[where]])
+    facts = B.pack(np.full((1, 1), 3), [np.array([len(keys), np.count_nonzero(total), total.sum()], W.U)])
+    shard = table.column("shard")[0].as_py()
+    return pa.table([pa.array([*table.column("g").to_pylist(), -1], pa.int64()), pa.array([shard] * (len(table) + 1), pa.int32()), pa.concat_arrays([data, facts])], ["g", "shard", "data"])
+
+
+def corpus_of(numbered: DataFrame, tokens: int) -> Corpus:
+    """The facts of all shards of words: one row from each."""
+    facts = {r.shard: B.unpack(pa.array([bytes(r.data)], pa.binary()), 1)[1][0].tolist() for r in numbered.filter("g = -1").select("shard", "data").collect()}
+    each = np.array([facts.get(s, [0, 0, 0]) for s in range(max(facts, default=-1) + 1)], np.int64).reshape(-1, 3)
+    first = np.cumsum(each[:, 0]) - each[:, 0]
+    if each[:, 0].sum() >= 1 << 32:
+        raise ValueError("more than 2**32 distinct words")
+    return Corpus(int(each[:, 2].sum()), int(each[:, 1].sum()), first, max(1, -(-tokens // SHARD_TOKENS)))
+
+
+def _known(answers: pa.Table, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and training counts of a group's words, in their order."""
+    answers = answers.sort_by("shard")
+    sizes, (steps, counts) = B.unpack(answers.column("data"), 2)
+    own = corpus.first[answers.column("shard").to_numpy()]
+    return B.rises(sizes[:, 0], steps) + np.repeat(own, sizes[:, 0]).astype(W.U), counts.astype(np.int64)
+
+
+# 3. Pairs and triples.
+
+
+def _state_grams(table: pa.Table, answers: pa.Table, corpus: Corpus) -> pa.Table:
+    if not table.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary())], ["g", "shard", "data"])
+    row = table.to_pylist()[0]
+    group = Group(row)
+    numbers, counts = _known(answers, corpus)
+    group.find_grams(numbers, corpus.shards)
+    by_pair, by_triple = group.counts()
+    u, v, w = numbers[group.first], numbers[group.second], numbers[group.third]
+    has, block = np.unique(group.shard, return_inverse=True)
+    new = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(group.first, prepend=-1) != 0))  # runs of one first word
+    run = np.diff(np.append(new, len(u)))
+    follow = np.bincount(group.context, minlength=len(u))
+    n_runs, n_pairs = np.bincount(block[new], minlength=len(has)), np.bincount(block, minlength=len(has))
+    n_triples = np.bincount(block, follow, len(has)).astype(np.int64)
+    data = B.pack(
+        np.column_stack([n_runs, n_runs, n_runs, n_pairs, n_pairs, n_pairs, n_triples, n_triples]),
+        [B.falls(n_runs, u[new]), run, counts[group.first[new]], B.falls(run, v), by_pair, follow, B.falls(follow[follow > 0], w), by_triple],
+    )
+    return pa.table([pa.array(np.full(len(has), row["g"])), pa.array(has.astype(np.int32)), data], ["g", "shard", "data"])
+
+
+def _answer(table: pa.Table, priors: tuple[float, float]) -> pa.Table:
+    """A shard: the trie of its pairs' n-grams from the counts of all groups, and its codes for what each group asked."""
+    sizes, (us, run, of_u, vs, by_pair, follow, ws, by_triple) = B.unpack(table.column("data"), 8)
+    run, follow = run.astype(np.int64), follow.astype(np.int64)
+    u, v = B.rises(sizes[:, 0], us), B.rises(run, vs)
+    pairs, pair = np.unique(np.repeat(u, run) << W.U(32) | v, return_inverse=True)
+    w = B.rises(follow[follow > 0], ws)
+    triples, triple = np.unique(np.repeat(pair, follow).astype(W.U) << W.U(32) | w, return_inverse=True)
+    two, three = np.bincount(pair, by_pair.astype(float), len(pairs)), np.bincount(triple, by_triple.astype(float), len(triples))
+    one = np.zeros(len(pairs))
+    one[pair] = np.repeat(of_u, run)
+    first, second = (pairs >> W.U(32)).astype(np.int64), (pairs & W.U(0xFFFFFFFF)).astype(np.int64)
+    context, third = (triples >> W.U(32)).astype(np.int64), (triples & W.U(0xFFFFFFFF)).astype(np.int64)
+    with Trie(first, second, context, third, two, three, one, priors) as trie:
+        of_pairs, weights, of_triples = trie.ask(first, second, context, third)
+    n_pairs, n_triples = sizes[:, 3], sizes[:, 6]
+    data = B.pack(np.column_stack([n_pairs, n_pairs, n_triples]), [of_pairs[pair], weights[pair], of_triples[triple]])
+    return pa.table([table.column("g").cast(pa.int64()), table.column("shard").cast(pa.int32()), data], ["g", "shard", "data"])
+
+
+# 4. Scores.
+
+
+def _score(table: pa.Table, answers: pa.Table, corpus: Corpus, priors: tuple[float, float]) -> pa.Table:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     if not table.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-    table = in_order(table)
-    grams = Grams(table)
-    _, where = np.unique(grams.hashes(corpus.bits), return_inverse=True)
-    blocks = dict(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-    stated = lambda shards: np.concatenate([np.zeros(0, np.uint64), *(unplanes(blocks[s]) for s in shards)])
-    one = stated(sorted((s for s in blocks if s < 0), reverse=True)).astype(float)
-    two, three = np.split(stated(sorted(s for s in blocks if s >= 0))[where].astype(float), grams.sizes[1:2])
-
-    total = corpus.tokens + corpus.distinct + 1
-    p1 = (one + 1) / total
-    (a, b), (ab, c) = grams.pairs, grams.triples
-    p2 = (two + prior * p1[b]) / (one[a] + prior)
-    bc = grams.last
-    p3 = (three + prior * p2[bc]) / (two[ab] + prior)
-
-    # The trie holds what was seen in training: ids, then places, among those.
-    seen1, seen2, seen3 = one > 0, two > 0, three > 0
-    seen2 &= seen1[a] & seen1[b]
-    seen3 &= seen2[ab] & seen2[bc]
-    id1, id2 = np.cumsum(seen1) - 1, np.cumsum(seen2) - 1
-    trie = Trie(
-        grams.words[seen1], (id1[a[seen2]], id1[b[seen2]]), (id2[ab[seen3]], id1[c[seen3]]),
-        [Trie.quantised(p[s]) for p, s in ((p1, seen1), (p2, seen2), (p3, seen3))],
-        [Trie.quantised(prior / (n[s] + prior)) for n, s in ((one, seen1), (two, seen2))],
-    )
-    try:
-        each = trie.score(grams.words, grams.pairs, grams.triples, bc, float(np.log10(1 / total)))
-    finally:
-        trie.close()
-    word = grams.tokens[0][1]
-    by_token = each[0][word]
-    for (at, which), values in zip(grams.tokens[1:], each[1:], strict=True):  # with all the context that a token has
-        by_token[at] = values[which]
-    score = np.concatenate([np.zeros(1), np.cumsum(by_token)])
-    base = np.concatenate([np.zeros(1), np.cumsum(np.log10(p1[word]))])
-    known = np.concatenate([[0], np.cumsum(seen1[word])])
-    edges = grams.offsets
-    per = lambda x: x[edges[1:]] - x[edges[:-1]]
-    return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(np.diff(edges)), pa.array(per(known)), pa.array(per(base)), pa.array(per(score))], names)
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, prior: float = 20.0) -> DataFrame:
+    row = table.to_pylist()[0]
+    group = Group(row)
+    kind = answers.column("kind")
+    numbers, counts = _known(answers.filter(pc.equal(kind, 1)), corpus)
+    group.find_grams(numbers, corpus.shards)
+    _, (of_pairs, weights, of_triples) = B.unpack(answers.filter(pc.equal(kind, 2)).sort_by("shard").column("data"), 3)
+
+    p1 = (counts + 1) / (corpus.tokens + corpus.distinct + 1)
+    p2 = Trie.value(of_pairs) + priors[0] / (counts[group.first] + priors[0]) * p1[group.second]
+    by_token = p1[group.word]
+    by_token[group.pair_at] = p2[group.pair]
+    before = np.zeros(len(by_token), np.int64)
+    before[group.pair_at] = group.pair
+    at = group.triple_at
+    by_token[at] = Trie.value(of_triples)[group.triple] + Trie.value(weights)[before[at - 1]] * by_token[at]
+    edges = np.concatenate([[0], np.cumsum(group.sizes)])
+
+    def per_text(each: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(each, edges[:-1])
+
+    return pa.table([
+        pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(group.sizes), pa.array(per_text((counts > 0)[group.word].astype(np.int64))),
+        pa.array(per_text(np.log10(p1)[group.word])), pa.array(per_text(np.log10(by_token))),
+    ], names)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, priors: tuple[float, float] = (300.0, 3.0)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on ids whose crc32 mod `fold` is not `held`."""
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % fold == held
-    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    own, shards = grouped(docs, id_col, text_col, {"held_out": held_out}, GROUP_BYTES)
-    plain = docs.select(F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    corpus = corpus_of(plain, shards)
-    stated = own.groupBy("g").applyInArrow(lambda t: _state(t, corpus.bits, shards), "g int, shard int, keys binary, counts binary")
-    answers = stated.groupBy("shard").applyInArrow(_add_up, "g int, shard int, counts binary")
-    scored = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(lambda t, a: _score(t, a, corpus, prior), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
+    groups = written(own.mapInArrow(lambda b: group_rows(b, GROUP_BYTES), GROUP_SCHEMA), "lm-groups")
+    tokens = groups.agg(F.sum("n")).first()[0] or 0
+    word_shards = max(1, -(-tokens // WORD_TOKENS))
+    stated = groups.select("g", "words", "counts").mapInArrow(lambda b: _state_words(b, word_shards), "g long, shard int, data binary")
+    numbered = written(stated.groupBy("shard").applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
+    corpus = corpus_of(numbered, tokens)
+    words = numbered.filter("g >= 0")
+    groups = groups.select("g", "ids", "held", "sizes", "tokens")
+    grams = groups.groupBy("g").cogroup(words.groupBy("g")).applyInArrow(lambda t, a: _state_grams(t, a, corpus), "g long, shard int, data binary")
+    answers = grams.groupBy("shard").applyInArrow(lambda t: _answer(t, priors), "g long, shard int, data binary")
+    both = words.withColumn("kind", F.lit(1)).unionByName(answers.withColumn("kind", F.lit(2)))
+    scored = groups.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(lambda t, a: _score(t, a, corpus, priors), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bit_sliced, exchange, line_rules, mixing, near_dup, ngram_lm, ordinal, packing, shards, substrings, tokenise, toxicity
+from quillon.llm import bit_sliced, blocks, exchange, line_rules, mixing, near_dup, ngram_lm, ordinal, packing, shards, substrings, tokenise, toxicity
 from quillon.llm import words as W
 from quillon.llm.elias_fano import EliasFano
 from quillon.llm.session import prepare
@@ -153,8 +153,11 @@ def test_near_duplicates_of_nothing(none):
 
 def test_ngram_scores(docs, rows, monkeypatch):
     monkeypatch.setattr(ngram_lm, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 2_000)
+    monkeypatch.setattr(ngram_lm, "WORD_TOKENS", 3_000)
     got = collections.defaultdict(list)
-    for r in ngram_lm.score_texts(docs).collect():
+    s2, s3 = 7.0, 0.5
+    for r in ngram_lm.score_texts(docs, priors=(s2, s3)).collect():
         got[r.doc_id].append(r)
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -173,9 +176,9 @@ def test_ngram_scores(docs, rows, monkeypatch):
             p = (one[a,] + 1) / (n + v + 1)
             base += math.log10(p)
             if j:
-                p = (two[w[j - 1], a] + 20 * p) / (one[w[j - 1],] + 20)
+                p = (two[w[j - 1], a] + s2 * p) / (one[w[j - 1],] + s2)
             if j > 1:
-                p = (three[w[j - 2], w[j - 1], a] + 20 * p) / (two[w[j - 2], w[j - 1]] + 20)
+                p = (three[w[j - 2], w[j - 1], a] + s3 * p) / (two[w[j - 2], w[j - 1]] + s3)
             score += math.log10(p)
         r = min(got[i], key=lambda r: abs(r.base_score - base))
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(one[a,] > 0 for a in w), n, held(i))
@@ -185,12 +188,31 @@ def test_ngram_scores(docs, rows, monkeypatch):
     assert ngram_lm.score_texts(docs.limit(0)).count() == 0
 
 
-def test_words_are_exact_however_short_the_keys(docs, monkeypatch):
-    full = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in ngram_lm.score_texts(docs).collect()}
-    whole = ngram_lm.corpus_of
-    monkeypatch.setattr(ngram_lm, "corpus_of", lambda own, shards: whole(own, shards, false_bits=-4))
-    got = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in ngram_lm.score_texts(docs).collect()}
-    assert got == full
+def test_ngram_blocks_are_no_more_than_keys(rows):
+    """Blocks between groups and shards grow with the keys, not with groups times shards."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows]), "held_out": pa.array([False] * len(rows))})
+    groups = pa.Table.from_batches(list(ngram_lm.group_rows(iter([batch]), 1 << 30)))
+    stated = pa.Table.from_batches(list(ngram_lm._state_words(iter(groups.to_batches()), 1)))
+    numbered = ngram_lm._number_words(stated)
+    words = numbered.filter(pa.compute.greater_equal(numbered["g"], 0))
+    pairs = 0
+    for many in (4, 1 << 20):
+        found = ngram_lm._state_grams(groups, words, ngram_lm.Corpus(10, 10, np.zeros(1, np.int64), many))
+        sizes, _ = blocks.unpack(found["data"], 8)
+        pairs = pairs or sizes[:, 3].sum()
+        assert sizes[:, 3].sum() == pairs and found.num_rows <= min(many, pairs) and sizes[:, 3].min() > 0
+    assert found.num_rows > 0.9 * pairs
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes = rng.integers(0, 6, (rng.integers(1, 20), rng.integers(1, 5)))
+        sections = [rng.integers(0, 1 << 63, n, dtype=np.uint64) >> rng.integers(0, 63, n).astype(np.uint64) for n in sizes.sum(axis=0)]
+        got, back = blocks.unpack(blocks.pack(sizes, sections), sizes.shape[1])
+        assert (got == sizes).all() and all((x == y).all() for x, y in zip(back, sections, strict=True))
+    runs, rising = np.array([2, 3]), np.array([5, 9, 1, 2, 2**63], np.uint64)
+    assert (blocks.rises(runs, blocks.falls(runs, rising)) == rising).all()
 
 
 def test_shards(docs, rows, none):
