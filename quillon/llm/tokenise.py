@@ -2,14 +2,15 @@
 
 A text is cut before every single space between two visible characters.  The
 pattern that splits text before the merges never joins across such a place, so
-the ids of the parts, one after another, are the ids of the text.  The distinct
+the ids of the parts, one after another, are the ids of the text; added tokens of the
+vocabulary, which hold no space, stay whole and get their own ids.  The distinct
 parts of a batch are joined and encoded in one call; the byte lengths of the
 ids tell where each part ends.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 from functools import cache
 
@@ -26,21 +27,26 @@ def vocabulary_path(name: str) -> str:
 
 
 @cache
-def encoder(ranks_file: str):
-    """The encoder of a rank file and the byte length of each id."""
+def encoder(vocabulary_file: str):
+    """The encoder of a byte-level vocabulary with its added tokens, and the byte length of each id."""
     import public_tokenizers
     import tiktoken
 
-    with open(ranks_file, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-    for token, rank in ranks.items():
-        lengths[rank] = len(token)
-    return tiktoken.Encoding(os.path.basename(ranks_file), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+    with open(vocabulary_file, encoding="utf-8") as file:
+        described = json.load(file)
+    # Such files write bytes as characters: visible ones as themselves, the others, in order, from U+0100 on.
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
+    added = {t["content"]: t["id"] for t in described["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in added}
+    lengths = np.zeros(max(*ranks.values(), *added.values()) + 1, np.int64)
+    for token, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
+        lengths[i] = len(token)
+    return tiktoken.Encoding(os.path.basename(vocabulary_file), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), lengths
 
 
 def _ids(encoding, raw: bytes) -> np.ndarray:
-    return np.array(encoding.encode_ordinary(raw.decode("utf-8", "replace")), np.uint32)
+    return np.array(encoding.encode(raw.decode("utf-8", "replace"), allowed_special="all"), np.uint32)
 
 
 def _parts(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +79,9 @@ def _parts(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     return starts, head[starts]
 
 
-def token_ids(texts: W.Texts, ranks_file: str) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: W.Texts, vocabulary_file: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, and the offsets of each text's ids."""
-    encoding, lengths = encoder(ranks_file)
+    encoding, lengths = encoder(vocabulary_file)
     if not len(texts.data):
         return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
     starts, head = _parts(texts)

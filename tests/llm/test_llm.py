@@ -259,16 +259,15 @@ def test_line_rules_remove_lines_and_reject(spark):
     assert not any(got[i].kept for i in (2, 3, 4, 5))
 
 
-RANKS = tokenise.vocabulary_path("byte_bpe_50k.tiktoken")
+VOCABULARY = tokenise.vocabulary_path("byte_bpe_50k.json")
 
 
 def test_token_ids_are_those_of_whole_texts(rows):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokenise.vocabulary_path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    texts = [r[1] for r in rows] + ["  a", "a  b \n c", "<|endoftext|> x", "日本 語 です ", "\n\n x \t y", "it's o'k 12 34 ... !", "¿que ¡no «x» ", "\x1c a \x1d", "\u0085 y \u0085 z", "é   b"]
-    ids, edges = tokenise.token_ids(W.texts_of(pa.array(texts)), RANKS)
+    whole = Tokenizer.from_file(VOCABULARY)
+    texts = [r[1] for r in rows] + ["  a", "a  b \n c", "<|endoftext|> x", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n", "日本 語 です ", "\n\n x \t y", "it's o'k 12 34 ... !", "¿que ¡no «x» ", "\x1c a \x1d", "\u0085 y \u0085 z", "é   b"]
+    ids, edges = tokenise.token_ids(W.texts_of(pa.array(texts)), VOCABULARY)
     for i, text in enumerate(texts):
         assert ids[edges[i] : edges[i + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids
 
@@ -286,11 +285,13 @@ def test_first_fit_decreasing_is_what_a_scan_gives():
 
 
 def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(VOCABULARY)
     got = packing.pack(docs, group_docs=20).toPandas()
-    encoding, _ = tokenise.encoder(RANKS)
     want = collections.Counter()
     for i, text, *_ in rows:
-        ids = np.array([*encoding.encode_ordinary(text or ""), 0], "<u4")
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         for s in range(0, len(ids), 1024):
             want[-1 if i is None else i, s, len(ids[s : s + 1024]), zlib.crc32(ids[s : s + 1024].tobytes()), len(ids)] += 1
     assert want == collections.Counter((-1 if math.isnan(r.doc_id) else int(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got.itertuples())
@@ -300,6 +301,22 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_a_null_and_spreads_equal_rows(spark):
+    odd = (1 << 60) + 1
+    rows = [(odd, "a b c"), (None, "d <|endoftext|> e")] + [(7, "same")] * 400
+    got = packing.pack(prepare(spark).createDataFrame(rows, "doc_id long, text string"), group_docs=50)
+    assert {r.doc_id for r in got.collect()} == {odd, None, 7}
+    per_group = got.groupBy(F.shiftright("sequence_id", 32)).count().toPandas()["count"]
+    assert len(per_group) == 9 and per_group.max() < 100
+
+
+def test_packing_pads_little(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, int(rng.integers(5, 900)))) for i in range(400)]
+    got = packing.pack(prepare(spark).createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert got.length.sum() / (1024 * got.sequence_id.nunique()) > 0.97
+
+
 def labelled(n=300, seed=6):
     rng = np.random.default_rng(seed)
     texts, toxic = [], []
