@@ -1,17 +1,21 @@
-"""Blocks of numbers for an exchange between groups of documents and shards of keys, packed without a loop over blocks.
+"""Blocks of numbers for an exchange between groups of documents and shards of keys.
 
 A block is one binary value: the sizes of its sections, then the sections'
-numbers, all in base 128 with a continuation bit.  Only blocks that hold
-something are made, so there are never more blocks than keys, however many
-groups and shards there are.
+numbers, all in base 128 with a continuation bit, computed for all blocks at
+once.  Where blocks are long enough for it, each is compressed; a first byte
+tells.  Only blocks that hold something are made, so there are never more
+blocks than keys, however many groups and shards there are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U = np.uint64
+#: Blocks of fewer bytes on average stay as they are.
+WORTH = 256
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +68,14 @@ def pack(sizes: np.ndarray, sections: list[np.ndarray]) -> pa.Array:
     for s, numbers in enumerate(sections):
         values[spread(starts[:, s + 1], sizes[:, s])] = numbers.astype(U)
     data, ends = encode(values)
-    last = starts[:, -1] + sizes[:, -1] - 1
-    offsets = np.concatenate([np.zeros(1, np.int64), ends[last]]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    edges = np.concatenate([np.zeros(1, np.int64), ends[starts[:, -1] + sizes[:, -1] - 1]])
+    if edges[-1] >= WORTH * len(sizes):
+        raw, squeeze, cuts = memoryview(data.tobytes()), zstandard.ZstdCompressor(level=1).compress, edges.tolist()
+        return pa.array([b"\1" + squeeze(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+    out = np.zeros(len(data) + len(sizes), np.uint8)
+    out[np.arange(len(data)) + 1 + np.repeat(np.arange(len(sizes)), np.diff(edges))] = data
+    offsets = (edges + np.arange(len(edges))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def unpack(column: pa.Array | pa.ChunkedArray, sections: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -77,11 +86,17 @@ def unpack(column: pa.Array | pa.ChunkedArray, sections: int) -> tuple[np.ndarra
         return np.zeros((0, sections), np.int64), [np.zeros(0, U) for _ in range(sections)]
     column = column.cast(pa.large_binary())
     edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    packed = np.frombuffer(column.buffers()[2], np.uint8)
+    if packed[edges[:-1]].any():
+        raw, cuts, open_ = memoryview(packed), edges.tolist(), zstandard.ZstdDecompressor().decompress
+        blocks = [open_(raw[a + 1 : b]) if raw[a] else bytes(raw[a + 1 : b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        data, edges = np.frombuffer(b"".join(blocks), np.uint8), np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in blocks])])
+    else:
+        data, edges = np.delete(packed[edges[0] : edges[-1]], edges[:-1] - edges[0]), edges - edges[0] - np.arange(len(edges))
     values = decode(data)
     before = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data < 128, out=before[1:])
-    first = before[edges[:-1] - edges[0]]
+    first = before[edges[:-1]]
     sizes = values[first[:, None] + np.arange(sections)].astype(np.int64)
     starts = _starts(sizes)
     return sizes, [values[spread(starts[:, s + 1], sizes[:, s])] for s in range(sections)]

@@ -49,12 +49,12 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import words as W
 from .elias_fano import Trie
-from .exchange import planes, unplanes
+from .exchange import pack_keys, planes, unpack_keys, unplanes
 from .session import written
 
 END = W.mix(np.array([0xE0D], W.U))[0]
 #: Bytes of text in a group, tokens behind a shard of pairs, and behind one of words.
-GROUP_BYTES, SHARD_TOKENS, WORD_TOKENS = 6_000_000, 1_500_000, 12_000_000
+GROUP_BYTES, SHARD_TOKENS, WORD_TOKENS = 6_000_000, 1_000_000, 12_000_000
 GROUP_SCHEMA = "g long, ids array<long>, held array<boolean>, sizes array<long>, words binary, counts binary, tokens binary, n long"
 
 
@@ -94,7 +94,7 @@ def group_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
         each = np.concatenate(sizes)
         counts = np.bincount(rank[met], np.repeat(~flags.to_numpy(zero_copy_only=False), each), len(words)).astype(np.uint32)
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        binary = [pa.array([planes(x)], pa.binary()) for x in (words[order], counts, rank[met])]
+        binary = [pa.array([x], pa.binary()) for x in (pack_keys(words[order]), planes(counts), planes(rank[met]))]
         return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), one(ids), one(flags), one(pa.array(each, pa.int64())), *binary, pa.array([len(met)], pa.int64())], ["g", "ids", "held", "sizes", "words", "counts", "tokens", "n"])
 
     for batch in batches:
@@ -155,7 +155,7 @@ def _edges(keys: np.ndarray, shards: int) -> np.ndarray:
 def _state_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            words = unplanes(row["words"])
+            words = unpack_keys(row["words"])
             sizes = np.diff(_edges(words, shards))
             has = np.flatnonzero(sizes)
             runs = sizes[has]
@@ -283,8 +283,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     corpus = corpus_of(numbered, tokens)
     words = numbered.filter("g >= 0")
     groups = groups.select("g", "ids", "held", "sizes", "tokens")
-    grams = groups.groupBy("g").cogroup(words.groupBy("g")).applyInArrow(lambda t, a: _state_grams(t, a, corpus), "g long, shard int, data binary")
-    answers = grams.groupBy("shard").applyInArrow(lambda t: _answer(t, priors), "g long, shard int, data binary")
-    both = words.withColumn("kind", F.lit(1)).unionByName(answers.withColumn("kind", F.lit(2)))
+    spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_group, by_shard = max(least, groups.count() // 4), max(least, corpus.shards // 4)  # tasks grow with the corpus, not in it
+    groups = groups.repartition(by_group, "g")
+    grams = groups.groupBy("g").cogroup(words.repartition(by_group, "g").groupBy("g")).applyInArrow(lambda t, a: _state_grams(t, a, corpus), "g long, shard int, data binary")
+    answers = grams.repartition(by_shard, "shard").groupBy("shard").applyInArrow(lambda t: _answer(t, priors), "g long, shard int, data binary")
+    both = words.withColumn("kind", F.lit(1)).unionByName(answers.withColumn("kind", F.lit(2))).repartition(by_group, "g")
     scored = groups.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(lambda t, a: _score(t, a, corpus, priors), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
