@@ -14,8 +14,8 @@ where a text's first token has no context and its second one word of it.
    text: the distinct words of a group and its tokens by their numbers.
 2. Shards of the words' 64-bit keys add up their counts and number them.
 3. Every group states its distinct pairs and triples with its training counts
-   to the shard of the pair (u, v).  A shard builds one trie from the sums, of
-   all n-grams that begin with its pairs: words, pairs and triples in levels of
+   to the shard of the first word, or, where that is a frequent one, of the
+   pair.  A shard builds one trie from the sums, of all n-grams of its pairs: words, pairs and triples in levels of
    monotone pointers and of word numbers relative to their context, with the
    first terms of the formulas and the weights of the shorter context quantised
    to steps of 1/16 in log10, mapped from files.  The trie answers all n-grams
@@ -54,17 +54,19 @@ from .session import written
 
 END = W.mix(np.array([0xE0D], W.U))[0]
 #: Bytes of text in a group, tokens behind a shard of pairs, and behind one of words.
-GROUP_BYTES, SHARD_TOKENS, WORD_TOKENS = 6_000_000, 1_000_000, 12_000_000
+GROUP_BYTES, SHARD_TOKENS, WORD_TOKENS = 4_000_000, 1_000_000, 12_000_000
+#: First words with more than this share of a shard's tokens have their pairs spread over all shards.
+SPREAD = 1 / 16
 GROUP_SCHEMA = "g long, ids array<long>, held array<boolean>, sizes array<long>, words binary, counts binary, tokens binary, n long"
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Training tokens, distinct ones, the first number of each shard of words, and the shards of pairs."""
+    """Training tokens, distinct ones, and how many shards of words and of pairs there are."""
 
     tokens: int
     distinct: int
-    first: np.ndarray
+    word_shards: int
     shards: int
 
 
@@ -112,22 +114,30 @@ def group_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
 
 
 class Group:
-    """A group's tokens and its distinct words, pairs and triples, by ranks among its own sorted words."""
-
-    def __init__(self, row: dict[str, object]) -> None:
-        self.word = unplanes(row["tokens"], np.uint32).astype(np.int64)
+    """A group's tokens and its distinct words, pairs and triples; words by their ranks among the numbers of the group's words."""
+
+    def __init__(self, row: dict[str, object], answers: pa.Table, corpus: Corpus) -> None:
+        numbers, counts = _known(answers, corpus)
+        order = np.argsort(numbers)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.numbers, self.of_word = numbers[order], counts[order]
+        self.word = rank[unplanes(row["tokens"], np.uint32)]
         self.sizes = np.array(row["sizes"], np.int64)
         self.training = np.repeat(~np.array(row["held"], bool), self.sizes)
+        self._find(corpus)
 
-    def find_grams(self, numbers: np.ndarray, shards: int) -> None:
+    def _find(self, corpus: Corpus) -> None:
         """Pairs in the order of shards, then of words; triples in the order of their first pairs."""
-        n = W.U(len(numbers))
+        n = W.U(len(self.numbers))
         word = self.word.astype(W.U)
         back = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.pair_at = np.flatnonzero(back >= 1)
+        self.pair_at, self.triple_at = np.flatnonzero(back >= 1), np.flatnonzero(back >= 2)
         pairs, self.pair = np.unique(word[self.pair_at - 1] * n + word[self.pair_at], return_inverse=True)
         first, second = (pairs // n).astype(np.int64), (pairs % n).astype(np.int64)
-        shard = (W.mix(numbers[first] << W.U(32) | numbers[second]) >> W.U(32)) * W.U(shards) >> W.U(32)
+        hot = self.of_word[first] > SPREAD * corpus.tokens / corpus.shards
+        key = W.mix(self.numbers[first] << W.U(32) | np.where(hot, self.numbers[second], W.U(0)))
+        shard = (key >> W.U(32)) * W.U(corpus.shards) >> W.U(32)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -135,7 +145,6 @@ class Group:
         self.first, self.second, self.shard = first[order], second[order], shard[order].astype(np.int64)
         which = np.full(len(word), -1)
         which[self.pair_at] = self.pair
-        self.triple_at = np.flatnonzero(back >= 2)
         triples, self.triple = np.unique(which[self.triple_at - 1].astype(W.U) * n + word[self.triple_at], return_inverse=True)
         self.context, self.third = (triples // n).astype(np.int64), (triples % n).astype(np.int64)
 
@@ -164,33 +173,32 @@ def _state_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
 
 
 def _number_words(table: pa.Table) -> pa.Table:
-    """A shard's answer to each group: numbers within the shard and counts of its words; and, as group -1, the shard's sizes."""
+    """A shard's answer to each group: ranks by frequency and counts of its words; and, as group -1, the shard's sizes."""
     sizes, (steps, counts) = B.unpack(table.column("data"), 2)
-    runs = sizes[:, 0]
-    keys, where = np.unique(B.rises(runs, steps), return_inverse=True)
+    keys, where = np.unique(B.rises(sizes[:, 0], steps), return_inverse=True)
     total = np.bincount(where, counts.astype(float), len(keys)).astype(W.U)
-    data = B.pack(sizes, [B.falls(runs, where), total[where]])
+    rank = np.empty(len(keys), W.U)
+    rank[np.lexsort((keys, ~total))] = np.arange(len(keys), dtype=W.U)
+    data = B.pack(sizes, [rank[where], total[where]])
     facts = B.pack(np.full((1, 1), 3), [np.array([len(keys), np.count_nonzero(total), total.sum()], W.U)])
     shard = table.column("shard")[0].as_py()
     return pa.table([pa.array([*table.column("g").to_pylist(), -1], pa.int64()), pa.array([shard] * (len(table) + 1), pa.int32()), pa.concat_arrays([data, facts])], ["g", "shard", "data"])
 
 
-def corpus_of(numbered: DataFrame, tokens: int) -> Corpus:
+def corpus_of(numbered: DataFrame, tokens: int, word_shards: int) -> Corpus:
     """The facts of all shards of words: one row from each."""
-    facts = {r.shard: B.unpack(pa.array([bytes(r.data)], pa.binary()), 1)[1][0].tolist() for r in numbered.filter("g = -1").select("shard", "data").collect()}
-    each = np.array([facts.get(s, [0, 0, 0]) for s in range(max(facts, default=-1) + 1)], np.int64).reshape(-1, 3)
-    first = np.cumsum(each[:, 0]) - each[:, 0]
-    if each[:, 0].sum() >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
-    return Corpus(int(each[:, 2].sum()), int(each[:, 1].sum()), first, max(1, -(-tokens // SHARD_TOKENS)))
+    facts = numbered.filter("g = -1").select("data").collect()
+    each = np.array([B.unpack(pa.array([bytes(r.data)], pa.binary()), 1)[1][0] for r in facts]).astype(np.int64).reshape(-1, 3)
+    if each[:, 0].max(initial=0) * word_shards >= 1 << 32:
+        raise ValueError("words' numbers do not fit into 32 bits")
+    return Corpus(int(each[:, 2].sum()), int(each[:, 1].sum()), word_shards, max(1, -(-tokens // SHARD_TOKENS)))
 
 
 def _known(answers: pa.Table, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and training counts of a group's words, in their order."""
+    """Numbers and training counts of a group's words, in the order of their keys; frequent words have small numbers."""
     answers = answers.sort_by("shard")
-    sizes, (steps, counts) = B.unpack(answers.column("data"), 2)
-    own = corpus.first[answers.column("shard").to_numpy()]
-    return B.rises(sizes[:, 0], steps) + np.repeat(own, sizes[:, 0]).astype(W.U), counts.astype(np.int64)
+    sizes, (rank, counts) = B.unpack(answers.column("data"), 2)
+    return rank * W.U(corpus.word_shards) + np.repeat(answers.column("shard").to_numpy(), sizes[:, 0]).astype(W.U), counts.astype(np.int64)
 
 
 # 3. Pairs and triples.
@@ -200,11 +208,9 @@ def _state_grams(table: pa.Table, answers: pa.Table, corpus: Corpus) -> pa.Table
     if not table.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary())], ["g", "shard", "data"])
     row = table.to_pylist()[0]
-    group = Group(row)
-    numbers, counts = _known(answers, corpus)
-    group.find_grams(numbers, corpus.shards)
+    group = Group(row, answers, corpus)
     by_pair, by_triple = group.counts()
-    u, v, w = numbers[group.first], numbers[group.second], numbers[group.third]
+    u, v, w = group.numbers[group.first], group.numbers[group.second], group.numbers[group.third]
     has, block = np.unique(group.shard, return_inverse=True)
     new = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(group.first, prepend=-1) != 0))  # runs of one first word
     run = np.diff(np.append(new, len(u)))
@@ -213,7 +219,7 @@ def _state_grams(table: pa.Table, answers: pa.Table, corpus: Corpus) -> pa.Table
     n_triples = np.bincount(block, follow, len(has)).astype(np.int64)
     data = B.pack(
         np.column_stack([n_runs, n_runs, n_runs, n_pairs, n_pairs, n_pairs, n_triples, n_triples]),
-        [B.falls(n_runs, u[new]), run, counts[group.first[new]], B.falls(run, v), by_pair, follow, B.falls(follow[follow > 0], w), by_triple],
+        [B.falls(n_runs, u[new]), run, group.of_word[group.first[new]], B.falls(run, v), by_pair, follow, B.falls(follow[follow > 0], w), by_triple],
     )
     return pa.table([pa.array(np.full(len(has), row["g"])), pa.array(has.astype(np.int32)), data], ["g", "shard", "data"])
 
@@ -246,10 +252,9 @@ def _score(table: pa.Table, answers: pa.Table, corpus: Corpus, priors: tuple[flo
     if not table.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
     row = table.to_pylist()[0]
-    group = Group(row)
     kind = answers.column("kind")
-    numbers, counts = _known(answers.filter(pc.equal(kind, 1)), corpus)
-    group.find_grams(numbers, corpus.shards)
+    group = Group(row, answers.filter(pc.equal(kind, 1)), corpus)
+    counts = group.of_word
     _, (of_pairs, weights, of_triples) = B.unpack(answers.filter(pc.equal(kind, 2)).sort_by("shard").column("data"), 3)
 
     p1 = (counts + 1) / (corpus.tokens + corpus.distinct + 1)
@@ -280,7 +285,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word_shards = max(1, -(-tokens // WORD_TOKENS))
     stated = groups.select("g", "words", "counts").mapInArrow(lambda b: _state_words(b, word_shards), "g long, shard int, data binary")
     numbered = written(stated.groupBy("shard").applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
-    corpus = corpus_of(numbered, tokens)
+    corpus = corpus_of(numbered, tokens, word_shards)
     words = numbered.filter("g >= 0")
     groups = groups.select("g", "ids", "held", "sizes", "tokens")
     spark = docs.sparkSession
