@@ -38,8 +38,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document of the smallest id stays; of repeated rows, one."""
     prepare(spark)
-    found = near_dup.classes(docs).select(F.col("class_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = near_dup.classes(docs, with_key=True)
+    # Of a class's texts the one with the smallest id, then the smallest hash; of its rows, one.
+    best = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.key").alias("_key"))
+    keyed = docs.withColumn("_text_key", F.unhex(F.md5(text)))
+    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_text_key"] == best["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

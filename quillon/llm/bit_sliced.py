@@ -15,8 +15,10 @@ rows nor the queries are broadcast; every pair of blocks gives at most k rows
 for each query, of which the k best are kept.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-or have another length than most, take no part; repeated ids are rows of their
-own, but none is a candidate for its own id; ties go to the smaller id.
+take no part; of vectors shorter than the longest the missing components count
+as 0; repeated ids are rows of their own, but none is a candidate for its own
+id, and a repeated query is one query with the rows of all; ties go to the
+smaller id.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def top_rows(sums: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarray:
 
 def _rows(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-    values = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+    values = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), width)
     return ids, values
 
 
@@ -128,7 +130,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, size: int, index: boo
             slices, low = slice_block(v)
             body, shape = slices.tobytes(), list(slices.shape)
         else:
-            low, body, shape = np.zeros(width, np.int64), v.astype(np.int32).tobytes(), list(v.shape)
+            low, body, shape = np.zeros(width, np.int64), v.tobytes(), list(v.shape)
         return pa.RecordBatch.from_pydict({"ids": pa.array([i.tobytes()], pa.binary()), "low": pa.array([low.astype(np.int64).tobytes()], pa.binary()), "body": pa.array([body], pa.binary()), "shape": pa.array([shape], pa.list_(pa.int64()))})
 
     for batch in batches:
@@ -151,7 +153,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             every = np.zeros(slices.shape[2] * 64, bool)
             every[: len(ids)] = True
             valid = np.packbits(every, bitorder="little").view(U)
-            queries = np.frombuffer(r["q_body"], np.int32).reshape(r["q_shape"]).astype(np.int64)
+            queries = np.frombuffer(r["q_body"], np.int64).reshape(r["q_shape"])
             out = []
             for q, query in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), queries, strict=True):
                 a, b = np.searchsorted(ids, q), np.searchsorted(ids, q, "right")
@@ -162,34 +164,37 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                         allowed[i >> 6] &= ~(U(1) << U(i & 63))
                 sums, offset = sum_slices(slices, low, query)
                 found = top_rows(sums, allowed, k)
-                scores = np.zeros(len(found), np.int64)
-                for w, s in enumerate(sums):
-                    scores += ((s[found >> 6] >> (found & 63).astype(U)) & U(1)).astype(np.int64) << w
-                out.append((np.full(len(found), q), ids[found], scores + offset))
+                scores = np.full(len(found), offset % (1 << 64), U)  # modulo 2**64, where the scores of candidates fit
+                for w, s in enumerate(sums[:64]):
+                    scores += ((s[found >> 6] >> (found & 63).astype(U)) & U(1)) << U(w)
+                out.append((np.full(len(found), q), ids[found], scores.astype(np.int64)))
             if out:
                 q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q), "vec_id": pa.array(v), "score": pa.array(s)})
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, rows: int = 16384, queries: int = 256) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, rows: int = 8192, queries: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product of floor(scale * x) for each query."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     own = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), is_query.alias("is_query"))
     finite = F.coalesce(~F.exists("x", lambda v: F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(True))), F.lit(False))
     own = own.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & finite)
-    widths = own.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths[0] if widths else 0
-    if not width:
+    facts = own.agg(F.max(F.size("x")), F.count("*")).first()
+    width, n = facts[0] or 0, facts[1]
+    if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    own = own.filter(F.size("x") == width).select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("v"), "is_query")
+    whole = F.transform("x", lambda v: F.floor(v * scale).cast("long"))
+    own = own.select("id", F.concat(whole, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("x"))).alias("v"), "is_query")
     schema = "ids binary, low binary, body binary, shape array<long>"
     index = own.select("id", "v").mapInArrow(lambda b: _blocks(b, width, rows, True), schema)
     asked = own.filter("is_query").select("id", "v").mapInArrow(lambda b: _blocks(b, width, queries, False), schema)
     asked = asked.select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.col("shape").alias("q_shape"))
     # A stated query set against all rows in blocks: every block of queries goes to each of a few lanes, every block of rows to one.
-    lanes = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    # Every block's lane is one of several for each task, so that tasks get alike many; and the number of tasks is stated, not left to sizes.
+    tasks = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lanes = max(1, min(8 * tasks, 2 * n // rows))
+    index = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).repartition(tasks, "lane")
+    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(tasks, "lane")
     found = index.join(asked, "lane").drop("lane").mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -32,10 +32,16 @@ from . import words as W
 
 # Fixed values.
 SYMBOLS = "#*$%&|<>"
-CLOSING = ".!?:;\"')]}"
+CLOSING = ".!?:;\"')]}…’”»。！？"
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "enable javascript", "privacy policy", "terms of service",
     "terms of use", "click here", "sign up for", "log in to", "subscribe to our", "lorem ipsum", "read more", "share this",
+    "alle rechte vorbehalten", "cookies akzeptieren", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen",
+    "hier klicken", "jetzt anmelden", "newsletter abonnieren", "javascript aktivieren", "weiterlesen", "mehr erfahren",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation",
+    "mentions légales", "cliquez ici", "inscrivez-vous", "activer javascript", "lire la suite", "en savoir plus",
+    "todos los derechos reservados", "aceptar cookies", "política de cookies", "política de privacidad",
+    "términos de uso", "aviso legal", "haga clic aquí", "suscríbete a", "activar javascript", "leer más",
 )
 
 
@@ -65,14 +71,14 @@ def _per_line(flags: np.ndarray, edges: np.ndarray, ends: np.ndarray) -> np.ndar
     return total[ends] - total[edges]
 
 
-def _phrases(data: np.ndarray) -> list[int]:
-    """Byte positions of boilerplate phrases, in any case."""
+def _phrases(data: np.ndarray) -> list[tuple[int, int]]:
+    """Byte spans of boilerplate phrases, their A-Z in any case."""
     low = data.tobytes().lower()
     found = []
     for phrase in BOILERPLATE:
         needle, at = phrase.encode(), -1
         while (at := low.find(needle, at + 1)) >= 0:
-            found.append(at)
+            found.append((at, at + len(needle)))
     return found
 
 
@@ -118,18 +124,24 @@ def judge(column: pa.Array, rules: LineRules, with_text: bool) -> dict[str, obje
     bars = _per_line(data == ord("|"), edges, ends)
     marks = _per_line(data == ord("!"), edges, ends)
     small, capital = _per_line(lower, edges, ends), _per_line(upper, edges, ends)
-    closing = np.isin(data, np.frombuffer(CLOSING.encode(), np.uint8)) | (data >= 0x80)
-    last = words.ends[first + count - 1] - 1
+    closed = np.zeros(len(edges), bool)
+    until = words.ends[first + count - 1]
+    for mark in CLOSING:
+        raw = np.frombuffer(mark.encode(), np.uint8)
+        fits = np.flatnonzero(until - edges >= len(raw))
+        closed[fits[(data[until[fits, None] - len(raw) + np.arange(len(raw))] == raw).all(axis=1)]] = True
     failed = symbols > rules.most_symbols * count
     failed |= (marks > rules.most_shouted * count) & (capital > small)
-    failed |= (count <= rules.fragment_words) & ~closing[last]
+    failed |= (count <= rules.fragment_words) & ~closed
     failed |= (bars > rules.most_separators * count) & (bars > 1)
     stutter = np.zeros(len(words.starts), bool)
     stutter[1:] = words.hashes[1:] == words.hashes[:-1]
     stuttered = _per_line(stutter, first, first + count)
     failed |= (count >= rules.stutter_words) & (stuttered > rules.most_stuttered * count)
     if len(edges) and (hits := _phrases(data)):
-        failed[np.clip(np.searchsorted(edges, np.asarray(hits), "right") - 1, 0, None)] = True
+        begin, end = np.array(hits).T
+        line = np.searchsorted(edges, begin, "right") - 1
+        failed[line[(line >= 0) & (end <= ends[line])]] = True  # not across lines or texts
 
     inside = _per_line(~space, edges, ends)
     total, gone = np.bincount(text_of, inside, n), np.bincount(text_of, inside * failed, n)

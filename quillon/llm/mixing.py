@@ -28,7 +28,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, HASHES = 4096, 1 << 40
+#: Rows of a hashed bucket of a leaf, on average; and the fewest buckets.
+BUCKET_ROWS, LEAST, HASHES = 4096, 4096, 1 << 40
 Path = tuple[str | None, ...]
 
 
@@ -94,9 +95,10 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[Path, float], share: f
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != epoch_col]).alias("_row"), domain.cast("string").alias("_domain"), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_tokens"), F.xxhash64(F.col(id_col).cast("string"), text).alias("_hash"),
     )
-    totals = rows.groupBy(*names).agg(F.sum("_tokens").alias("t")).limit(most_leaves + 1).collect()
+    totals = rows.groupBy(*names).agg(F.sum("_tokens").alias("t"), F.count("*").alias("n")).limit(most_leaves + 1).collect()
     if len(totals) > most_leaves:
         raise ValueError(f"more than {most_leaves} leaves")
+    buckets = 1 << max(LEAST, max((r.n for r in totals), default=0) // BUCKET_ROWS).bit_length()
     supply = {(r._domain, r._lang, r._source): int(r.t or 0) for r in totals}
     plan = budgets(supply, weights, share * sum(supply.values()), epochs)
     spark = docs.sparkSession
@@ -109,12 +111,12 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[Path, float], share: f
         return left.join(F.broadcast(right), on).drop("d", "l", "s")
 
     ranked = with_plan(rows, table).withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), "full", "_hash"), F.lit(HASHES)))
-    ranked = ranked.withColumn("_bucket", F.floor(F.col("_h") / (HASHES // BUCKETS)).cast("int"))
+    ranked = ranked.withColumn("_bucket", F.floor(F.col("_h") / (HASHES // buckets)).cast("int"))
     sums = ranked.groupBy(*names, "rest", "_bucket").agg(F.sum("_tokens").alias("t"))
     running = sums.withColumn("upto", F.sum("t").over(Window.partitionBy(*names).orderBy("_bucket")))
     cuts = running.filter(F.col("upto") > F.col("rest")).groupBy(*names).agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("t")).alias("before"))).alias("cut"))
     cuts = cuts.select(F.col("_domain").alias("d"), F.col("_lang").alias("l"), F.col("_source").alias("s"), F.col("cut._bucket").alias("cut"), F.col("cut.before").alias("before"))
-    near = with_plan(ranked, cuts)
+    near = with_plan(ranked.filter("rest > 0"), cuts)
     inside = near.filter(F.col("_bucket") < F.col("cut")).select("_row", F.col("full").alias("_epoch"))
     order = Window.partitionBy(*names).orderBy("_h", "_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = near.filter(F.col("_bucket") == F.col("cut")).withColumn("upto", F.col("before") + F.sum("_tokens").over(order))

@@ -37,6 +37,10 @@ from .components import components
 from .session import written
 
 
+#: A text with more than this share of the rows is a hot one.
+HOT_PARTS = 1000
+
+
 def shingles_of(texts: W.Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text index, hash and count of the distinct shingles of each text, by text and hash."""
     words = W.words_of(texts)
@@ -120,7 +124,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -
             owner, hashes, counts = shingles_of(texts, size)
             keys = band_keys(signatures(owner, hashes, counts, len(texts), bands * rows), rows)
             has = np.bincount(owner, minlength=len(texts)) > 0
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "key": part.column("key"), "bands": pa.array([k if h else None for k, h in zip(keys.tolist(), has, strict=True)], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "key": part.column("key"), "size": pa.array(np.diff(texts.offsets)), "bands": pa.array([k if h else None for k, h in zip(keys.tolist(), has, strict=True)], pa.list_(pa.int64()))})
 
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +159,7 @@ def _links(table: pa.Table, size: int, share: tuple[int, int]) -> pa.Table:
     """
     few, many = (table.filter(pc.equal(table.column("side"), s)) for s in (0, 1))
     found: list[tuple[bytes, bytes]] = []
+    joined: set[tuple[bytes, bytes]] = set()
     if few.num_rows and many.num_rows:
         band = table.column("band")[0].as_py()
         owner, hashes, counts = shingles_by_slices(many.column("text"), size)
@@ -174,22 +179,28 @@ def _links(table: pa.Table, size: int, share: tuple[int, int]) -> pa.Table:
             shared = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, n)), many.num_rows)
             close = shared * share[1] >= share[0] * (total + c.sum() - shared)
             here = (bands == np.array(own_bands, np.int64)).argmax(axis=1) == band
-            found += [(min(key, keys[j]), max(key, keys[j])) for j in np.flatnonzero(close & here & (labels != label)) if main[j] or key < keys[j]]
+            for j in np.flatnonzero(close & here & (labels != label)):
+                if (main[j] or key < keys[j]) and (label, labels[j]) not in joined:  # one link joins two classes
+                    joined.add((label, labels[j]))
+                    found.append((min(key, keys[j]), max(key, keys[j])))
     return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5), bands: int = 24, rows: int = 4, hubs: int = 3, block: int = 1024) -> DataFrame:
-    """doc_id, class_id: the smallest id of each document's class."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5), bands: int = 24, rows: int = 4, hubs: int = 3, block: int = 1024, block_bytes: int = 16_000_000, with_key: bool = False) -> DataFrame:
+    """doc_id, class_id: the smallest id of each document's class; with_key: also key, the text's MD5, and class_key, a key of the class."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("key", F.unhex(F.md5("text")))
     kind = own.schema["doc_id"].dataType.simpleString()
-    signed = written(own.mapInArrow(lambda b: _sign(b, words, bands, rows), f"doc_id {kind}, key binary, bands array<long>"), "near-signed")
-    distinct = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    spread = distinct.filter(F.col("bands").isNotNull()).select("key", F.posexplode("bands").alias("band", "value"))
+    signed = written(own.mapInArrow(lambda b: _sign(b, words, bands, rows), f"doc_id {kind}, key binary, size long, bands array<long>"), "near-signed")
+    distinct = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    spread = distinct.filter(F.col("bands").isNotNull()).select("key", "size", F.posexplode("bands").alias("band", "value"))
     full = spread.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").select("band", "value")
     members = written(spread.join(full, ["band", "value"]), "near-members")
     named = members.select("key").distinct()
-    texts = written(own.join(named, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "near-texts")
+    # One text of each key, found by the id too, so that copies under other ids go to other tasks.
+    chosen = distinct.join(named, "key").select(F.col("key").alias("of_key"), F.col("doc_id").alias("of_id"))
+    found = own.join(chosen, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
+    texts = written(found.groupBy("key").agg(F.first("text").alias("text")), "near-texts")
 
     def hub_pairs(labelled: DataFrame, seed: int) -> DataFrame:
         """One text of each bucket with all others there that are not of its class."""
@@ -205,8 +216,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     def rest(labelled: DataFrame) -> DataFrame:
         """Links between all texts of different classes in a bucket, in blocks of a bucket's members."""
-        sizes = labelled.groupBy("band", "value", "label").agg(F.count("*").alias("n")).groupBy("band", "value").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels"))
-        apart = sizes.filter("labels > 1").select("band", "value", F.col("main.label").alias("main_label"), F.ceil(F.col("n") / block).cast("int").alias("many"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("few"))
+        sizes = labelled.groupBy("band", "value", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("band", "value").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels"))
+        parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / block_bytes)).cast("int")
+        apart = sizes.filter("labels > 1").select("band", "value", F.col("main.label").alias("main_label"), parts(F.col("n"), F.col("size")).alias("many"), parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("few"))
         left = labelled.join(apart, ["band", "value"]).withColumn("main", F.col("label") == F.col("main_label"))
         deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
         all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -232,6 +244,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     label = components(named, links, "key")
 
     by_label = distinct.select("key", "doc_id").join(label, "key").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    by_key = label.join(by_label, "label").select("key", "class_id")
-    of_key = distinct.select("key", F.col("doc_id").alias("least_id")).join(by_key, "key", "left").select("key", F.coalesce("class_id", "least_id").alias("class_id"))
-    return signed.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id")
+    by_key = label.join(by_label, "label")
+    of_key = distinct.select("key", "copies", F.col("doc_id").alias("least_id")).join(by_key, "key", "left").select("key", "copies", F.coalesce("class_id", "least_id").alias("class_id"), F.coalesce("label", "key").alias("class_key"))
+    of_key = written(of_key, "near-keys")
+    # Rows of a text with very many copies do not meet in one task: there are fewer than HOT_PARTS such texts, and they are broadcast.
+    hot = signed.count() / HOT_PARTS
+    few, rest_ = of_key.filter(F.col("copies") > hot), of_key.filter(F.col("copies") <= hot)
+    rows_ = signed.select("doc_id", "key").join(F.broadcast(few.select("key", F.col("class_id").alias("hot_id"), F.col("class_key").alias("hot_class"))), "key", "left")
+    columns = ["doc_id", "class_id", "key", "class_key"] if with_key else ["doc_id", "class_id"]
+    hot_rows = rows_.filter(F.col("hot_class").isNotNull()).select("doc_id", "key", F.col("hot_id").alias("class_id"), F.col("hot_class").alias("class_key"))
+    other = rows_.filter(F.col("hot_class").isNull()).select("doc_id", "key").join(rest_.drop("copies"), "key")
+    return hot_rows.select(*columns).unionByName(other.select(*columns))
