@@ -5,16 +5,17 @@ down, each into the shard where the dot product of the group's vector (bytes,
 tokens, rows as shares of the corpus) with the shard's residual capacity is
 highest.
 
-* Heavy groups, of more than 1/64 of a shard, are placed first, on the driver:
-  there are at most 64 for each shard, whatever the corpus holds.  A group too
-  large for one shard is split into pieces of about 1/64 of a shard by a hash
-  of the rows' ids.
+* Heavy groups, of more than 1/64 of a shard in bytes, tokens or rows, are placed
+  first, on the driver: there are at most 3 * 64 for each shard, whatever the
+  corpus holds.  A group too large for one shard in any of the three is split
+  into pieces of about 1/64 of a shard by the places of its rows in a written
+  table, so that equal rows part like any others.
 * All other groups are dealt at random into cells of about `cell_groups`
   groups.  Every cell packs its groups alone into its share of the capacity
   that the heavy groups have left, so cells run in parallel and their sum is
   balanced.
 
-Slots are numbered by counting rows in small hashed buckets of each shard.
+Slots are numbered by counting rows in small parts of each shard.
 
 Defined results: a null text counts as an empty one; repeated rows are rows of
 their own; rows with a null id are placed as any other; an empty table gives
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .session import written
 
-HEAVY, BUCKETS, ROW_BYTES = 64, 1024, 16
+HEAVY, ROW_BYTES = 64, 16
+MEASURES = ("bytes", "tokens", "rows")
 #: Of bytes, tokens and rows in the dot product: the last, smallest groups even out the bytes.
 WEIGHTS = np.array([1.0, 1.0, 0.2])
 
@@ -52,7 +54,7 @@ def _descending(vectors: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def _cell(rows: pd.DataFrame, total: np.ndarray, residual: np.ndarray) -> pd.DataFrame:
-    vectors = rows[["bytes", "tokens", "rows"]].to_numpy(float) / total
+    vectors = rows[list(MEASURES)].to_numpy(float) / total
     order = _descending(vectors, rows.h1.to_numpy())
     room = np.maximum(residual, 0)
     room = room * (vectors.sum(axis=0) / np.maximum(room.sum(axis=0), 1e-300))
@@ -64,39 +66,42 @@ def _bucket(buckets: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(11), *columns), F.lit(buckets)).cast("int")
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, cell_groups: int = 16384) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, cell_groups: int = 4096) -> DataFrame:
     """doc_id, size, text_crc32, tokens, shard, slot: one row per input row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(5), text).alias("h2"),
     )
-    rows = written(rows.withColumn("bucket", _bucket(BUCKETS, "doc_id", "h1")), "shard-rows")
+    buckets = max(1024, HEAVY * shards)
+    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(11), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")), "shard-rows")
     units = rows.groupBy("h1", "h2", "bucket").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"))
-    groups = units.groupBy("h1", "h2").agg(*(F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")))
+    sums = [F.sum(c).alias(c) for c in MEASURES]
+    groups = units.groupBy("h1", "h2").agg(*sums)
     first = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     total = np.maximum(np.array([first[0] or 0, first[1] or 0, first[2] or 0], float), 1)
-    share = total[0] / shards
-
-    # Heavy groups: fewer than HEAVY * shards, as each has more than 1 / HEAVY of a shard.
-    heavy = groups.filter(F.col("bytes") > share / HEAVY).toPandas()
-    whole, large = heavy[heavy.bytes <= 0.9 * share], heavy[heavy.bytes > 0.9 * share]
-    items = [whole.assign(piece=0, pieces=1)]
-    for g in large.itertuples():
-        pieces = min(BUCKETS, math.ceil(g.bytes * HEAVY / share))
-        parts = units.filter((F.col("h1") == g.h1) & (F.col("h2") == g.h2)).groupBy((F.col("bucket") % pieces).alias("piece")).agg(*(F.sum(c).alias(c) for c in ("bytes", "tokens", "rows"))).toPandas()
-        items.append(parts.assign(h1=g.h1, h2=g.h2, pieces=pieces))
-    placed = pd.concat(items, ignore_index=True)
-    vectors = placed[["bytes", "tokens", "rows"]].to_numpy(float) / total
+    share = total / shards
+    of_shard = F.greatest(*[F.col(c) / float(x) for c, x in zip(MEASURES, share, strict=True)])
+
+    # Heavy groups: fewer than 3 * HEAVY * shards, as each has more than 1 / HEAVY of a shard in one of three measures.
+    groups = groups.withColumn("part", of_shard)
+    heavy = groups.filter(F.col("part") > 1 / HEAVY).toPandas()
+    whole, large = heavy[heavy.part <= 0.9], heavy[heavy.part > 0.9]
+    spark = docs.sparkSession
+    cut = [(int(g.h1), int(g.h2), min(buckets, math.ceil(g.part * HEAVY))) for g in large.itertuples()]
+    pieces = units.join(F.broadcast(spark.createDataFrame(cut, "h1 long, h2 long, pieces int")), ["h1", "h2"])
+    pieces = pieces.groupBy("h1", "h2", "pieces", (F.col("bucket") % F.col("pieces")).alias("piece")).agg(*sums).toPandas()
+    columns = ["h1", "h2", "pieces", "piece", *MEASURES]
+    placed = pd.concat([whole.assign(piece=0, pieces=1)[columns], pieces[columns]], ignore_index=True)
+    vectors = placed[list(MEASURES)].to_numpy(float) / total
     order = _descending(vectors, placed.h1.to_numpy(np.int64) + placed.piece.to_numpy(np.int64))
     residual = np.full((shards, 3), 1 / shards)
     placed = placed.iloc[order].assign(shard=place(vectors[order], residual))
-    spark = docs.sparkSession
     known = spark.createDataFrame([tuple(map(int, r)) for r in placed[["h1", "h2", "piece", "pieces", "shard"]].itertuples(index=False)], "h1 long, h2 long, piece int, pieces int, heavy_shard int")
     sizes = known.select("h1", "h2", "pieces").distinct()
 
     cells = max(1, math.ceil(total[2] / cell_groups))
-    light = groups.filter(F.col("bytes") <= share / HEAVY).withColumn("cell", _bucket(cells, "h1", "h2"))
+    light = groups.filter(F.col("part") <= 1 / HEAVY).withColumn("cell", _bucket(cells, "h1", "h2"))
     packed = light.groupBy("cell").applyInPandas(lambda r: _cell(r, total, residual), "h1 long, h2 long, shard int")
 
     rows = rows.join(F.broadcast(sizes), ["h1", "h2"], "left")
@@ -104,10 +109,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     from_heavy = split.join(F.broadcast(known.drop("pieces")), ["h1", "h2", "piece"]).withColumnRenamed("heavy_shard", "shard")
     from_light = rows.filter(F.col("pieces").isNull()).join(packed, ["h1", "h2"])
     own = ["doc_id", "size", "text_crc32", "tokens", "h1", "shard"]
-    both = written(from_heavy.select(own).unionByName(from_light.select(own)), "shard-placed")
-
-    # Slots: rows before this one in the shard's earlier buckets, and in its own.
-    both = both.withColumn("part", _bucket(max(1, math.ceil(total[2] / shards / 4096)), "doc_id", "text_crc32"))
+    # Slots: rows before this one in the shard's earlier parts, and in its own; parts are of rows by their places.
+    parts = F.pmod(F.xxhash64(F.lit(13), F.monotonically_increasing_id()), F.lit(max(1, math.ceil(total[2] / shards / 4096)))).cast("int")
+    both = written(from_heavy.select(own).unionByName(from_light.select(own)).withColumn("part", parts), "shard-placed")
     before = both.groupBy("shard", "part").count().withColumn("start", F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count"))
     within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "h1")) - 1
     ranked = both.withColumn("within", within).join(before.select("shard", "part", "start"), ["shard", "part"])

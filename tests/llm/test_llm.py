@@ -241,6 +241,38 @@ def test_shards(docs, rows, none):
     assert shards.assign(none).count() == 0
 
 
+def test_shards_are_those_of_the_dot_products(spark):
+    """All groups are heavy here: the placing is recomputed group by group, from the largest down."""
+    rng = np.random.default_rng(9)
+    texts = [prose(rng, int(rng.integers(3, 60))) for _ in range(90)]
+    rows = [(i, texts[i if i < 90 else i % 20]) for i in range(130)]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    groups = df.groupBy("text").agg(F.count("*").alias("n"), F.first(F.xxhash64("text")).alias("h")).collect()
+    vectors = {g.text: np.array([g.n * (len(g.text.encode()) + 16), g.n * len(cut(g.text)), g.n], float) for g in groups}
+    total = sum(vectors.values())
+    assert all((v / total).max() <= 0.9 / 8 for v in vectors.values())
+    room, want = np.full((8, 3), 1 / 8), {}
+    for g in sorted(groups, key=lambda g: (-(vectors[g.text] / total).max(), g.h)):
+        v = vectors[g.text] / total
+        want[g.text] = int(np.argmax([sum(r * x * w for r, x, w in zip(room[s], v, shards.WEIGHTS, strict=True)) for s in range(8)]))
+        room[want[g.text]] -= v
+    got = {r.doc_id: r.shard for r in shards.assign(df, shards=8).collect()}
+    assert got == {i: want[t] for i, t in rows}
+
+
+@pytest.mark.parametrize("case", ["empty texts", "one id"])
+def test_shards_balance_all_measures(spark, case):
+    """Very many empty texts, or very many rows of one id, weigh in rows or in all: they part."""
+    rng = np.random.default_rng(10)
+    same = prose(rng, 50)
+    rows = [(i, "" if i < 900 else prose(rng, int(rng.integers(5, 80)))) for i in range(2400)] if case == "empty texts" else [(1, same)] * 1200 + [(None, same)] * 300 + [(i, prose(rng, int(rng.integers(5, 80)))) for i in range(400)]
+    got = shards.assign(prepare(spark).createDataFrame(rows, "doc_id long, text string"), shards=10).toPandas()
+    for column, how in (("size", "sum"), ("tokens", "sum"), ("slot", "count")):
+        each = got.groupby("shard")[column].agg(how)
+        assert len(each) == 10 and 0.97 < each.min() / each.mean() and each.max() / each.mean() < 1.03
+    assert all(sorted(p.slot) == list(range(len(p))) for _, p in got.groupby("shard"))
+
+
 def test_a_group_larger_than_a_shard_is_split(spark):
     df = prepare(spark).createDataFrame([(i, "same text" if i < 400 else f"text {i}") for i in range(1000)], "doc_id long, text string")
     got = shards.assign(df, shards=8).toPandas()
