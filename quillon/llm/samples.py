@@ -15,7 +15,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, allowed:
     """At most `per_class` labelled texts of each class, as (id, class, text) in order, and the class sizes among the allowed labels.
 
     The rows are those whose ids have the smallest hashes, so the sample does not depend on the order of rows.
-    An id that stands in several documents gives the least of their texts.
+    An id that stands in several documents gives the least of their texts; one labelled twice, the least of its labels.
     """
     known = labels.select(F.col(id_col).alias("id"), label.alias("label")).filter(allowed & F.col("label").isNotNull() & F.col("id").isNotNull())
     sizes = {int(r[0]): int(r[1]) for r in known.groupBy("label").count().collect() if r[0] in classes}
@@ -23,7 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, allowed:
     for c in classes:
         part = known.filter(F.col("label") == c).select("id", "label").orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    ids = picked.dropDuplicates(["id"])  # at most per_class rows for each class
+    ids = picked.groupBy("id").agg(F.min("label").alias("label"))  # at most per_class rows for each class
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")).collect()
     return sorted((r.id, int(r.label), r.text) for r in rows), sizes

@@ -1,20 +1,25 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window by window.
-
-The toxic dictionary is trained on stretches that stand in toxic training
-texts far more often than in ordinary ones, the ordinary dictionary on windows
-of ordinary texts.  Every window of a text is compressed with the ordinary
-dictionary alone and with the toxic one laid over it; where the second is
-shorter, the window holds toxic material.  How many windows pass each of a row
-of thresholds of that difference, and the number of windows, give the score;
-the weights of the thresholds are calibrated on labelled rows of their own.
+"""Toxicity by compression distance: two trained zstandard dictionaries, window by window.
+
+Both dictionaries come from zstandard's trainer: the ordinary one from windows
+of ordinary training texts, the toxic one from the stretches of toxic training
+texts whose byte n-grams are far more frequent there than in ordinary ones (the
+rest of a toxic text is ordinary prose, and a dictionary of it would say
+nothing).  Every window of a text is compressed with the ordinary dictionary
+and with the toxic one laid over it, so that what both know cancels out; where
+the second is shorter, the window holds toxic material.  How many windows pass
+each of a row of thresholds of that difference, and the number of windows, give
+the score.  The weights of the thresholds are calibrated on texts that the
+dictionaries used for them have not seen: training texts are dealt into folds,
+and each fold is measured with dictionaries of the others.
 
 The fit takes at most `per_class` labelled texts and `train_bytes` bytes of
 each class, drawn by a hash of the id.  Scoring is one pass over whole texts.
 
 Defined results: a null or empty text is one empty window; repeated rows are
 scored one by one; labels other than 0 and 1 and labels of unknown ids are not
-used; without both classes among the labels every score is the share of
-toxic labels.  Other columns are not read.
+used, an id labelled both ways counts as ordinary; with fewer than two texts of
+a class among the labels every score is the share of toxic labels.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,22 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from . import words as W
 from .samples import fold_of, labelled_sample
 
-GRAM, THRESHOLDS = 6, 12
+GRAM, THRESHOLDS = 8, 12
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Bounds and limits of the fit."""
+
+    train_bytes: int = 12_000_000
+    support: float = 0.01
+    least: int = 4
+    ratio: float = 40.0
+    ordinary_size: int = 32768
+    toxic_size: int = 8192
+    window: int = 32
+    stride: int = 16
+    folds: int = 4
 
 
 @dataclass
@@ -107,26 +127,32 @@ def _stretches(text: bytes, marks: np.ndarray) -> list[bytes]:
     return [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _dictionaries(toxic: list[bytes], ordinary: list[bytes], window: int, support: float, least: int, ratio: float, most: int, size: int) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary."""
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary trained on samples; of too little text to train on, the text itself."""
+    held = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(max(1024, min(size, held // 4)), samples, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[:size]
+
+
+def _marks(toxic: list[bytes], ordinary: list[bytes], support: float, least: int, ratio: float) -> np.ndarray:
+    """n-grams that stand in at least a share of the toxic texts and far more often than in ordinary ones."""
     seen, count = np.unique(np.concatenate([np.zeros(0, np.int64), *map(_grams, toxic)]), return_counts=True)
     often = count >= max(least, support * len(toxic))
     seen, count = seen[often], count[often]
-    other, by_other = np.unique(np.concatenate([np.zeros(0, np.int64), *map(_grams, ordinary)]), return_counts=True)
-    at = np.searchsorted(other, seen)
-    hit = at < len(other)
-    hit[hit] = other[at[hit]] == seen[hit]
-    plain = np.where(hit, by_other[np.minimum(at, max(0, len(other) - 1))], 0) if len(other) else np.zeros(len(seen))
-    marks = seen[count / len(toxic) > ratio * (plain + 0.5) / max(1, len(ordinary))]
-    stretches: dict[bytes, int] = {}
-    for text in toxic:
-        for s in _stretches(text, marks):
-            stretches[s] = stretches.get(s, 0) + 1
-    common = sorted(stretches, key=lambda s: (-stretches[s], s))[:most]
-    parts, step = [], max(1, len(ordinary) * 8 * window // (4 * size))
-    for text in ordinary[:: max(1, step)] or ordinary:
-        parts += [text[i : i + window + 8] for i in range(0, max(1, len(text) - window), max(window, len(text) // 8))]
-    return b"".join(parts)[:size], b" ".join(reversed(common))[-size // 8 :]
+    other, by_other = np.unique(np.concatenate([np.full(1, np.iinfo(np.int64).max), *map(_grams, ordinary)]), return_counts=True)
+    at = np.minimum(np.searchsorted(other, seen), len(other) - 1)
+    plain = np.where(other[at] == seen, by_other[at], 0)
+    return seen[count / len(toxic) > ratio * (plain + 0.5) / max(1, len(ordinary))]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> tuple[bytes, bytes]:
+    """The trained ordinary and toxic dictionaries."""
+    marks = _marks(toxic, ordinary, s.support, s.least, s.ratio)
+    told = [x for x in (_stretches(t, marks) for t in toxic) if x]
+    windows = [t[i : i + 4 * s.window] for t in ordinary for i in range(0, max(1, len(t)), 4 * s.window)]
+    return _trained(windows, s.ordinary_size, 64), _trained([b" ".join(x) for x in told], s.toxic_size, 16) if told else b""
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -145,31 +171,36 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def fit(samples: list[tuple[int, int, str]], sizes: dict[int, int], train_bytes: int = 12_000_000, support: float = 0.02, least: int = 6, ratio: float = 10.0, most: int = 500, size: int = 65536, window: int = 32, stride: int = 16) -> Model:
+def fit(samples: list[tuple[int, int, str]], sizes: dict[int, int], settings: Settings = Settings()) -> Model:
     """A model from (id, label, text) samples; sizes: how many labels each class has in all."""
+    s = settings
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     for label in (0, 1):
         total = 0
         for _, y, text in samples:
             raw = text.encode("utf-8", "replace")
-            if y == label and total + len(raw) <= train_bytes:
+            if y == label and total + len(raw) <= s.train_bytes:
                 texts[label].append(raw)
                 total += len(raw)
         texts[label] = _without_copies(texts[label])
-    if not texts[0] or not texts[1]:
-        model = Model(b"", b"", window, stride)
+    if min(len(texts[0]), len(texts[1])) < 2:
+        model = Model(b"", b"", s.window, s.stride)
         share = (sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + sizes.get(1, 0) + 1)
         model.weights[0] = np.log(share / (1 - share))
         return model
-    # Dictionaries and calibration on different texts, where there are enough.
-    apart = len(texts[1]) >= 100
-    learn = {k: v[::2] + v[1::4] if apart else v for k, v in texts.items()}
-    check = {k: v[3::4] if apart else v for k, v in texts.items()}
-    model = Model(*_dictionaries(learn[1], learn[0], window, support, least, ratio, most, size), window, stride)
-    plain, laid = model.compressors()
-    x = np.array([model.features(t, plain, laid) for k in (0, 1) for t in check[k]])
-    y = np.repeat([0.0, 1.0], [len(check[0]), len(check[1])])
-    weight = np.where(y > 0, sizes.get(1, 1) / len(check[1]), sizes.get(0, 1) / len(check[0]))
+    # Every text is measured with dictionaries of the other folds; the model's own are of all folds.
+    x, y = [], []
+    for fold in range(s.folds):
+        other = {k: [t for i, t in enumerate(v) if i % s.folds != fold] or v for k, v in texts.items()}
+        part = Model(*dictionaries(other[1], other[0], s), s.window, s.stride)
+        plain, laid = part.compressors()
+        for k, v in texts.items():
+            own = v[fold :: s.folds]
+            x += [part.features(t, plain, laid) for t in own]
+            y += [float(k)] * len(own)
+    model = Model(*dictionaries(texts[1], texts[0], s), s.window, s.stride)
+    x, y = np.array(x), np.array(y)
+    weight = np.where(y > 0, sizes.get(1, 1) / (y > 0).sum(), sizes.get(0, 1) / (y == 0).sum())
     weight *= len(y) / weight.sum()
     model.centre = x.mean(axis=0)
     spread = x.std(axis=0) + 1e-9

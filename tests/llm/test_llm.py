@@ -430,6 +430,31 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score_texts(docs.limit(0), plain).count() == 0
 
 
+def test_toxicity_scores_are_those_of_the_windows(spark):
+    """Scores again, window by window, with compressors of their own; among the texts empty and very long ones."""
+    import zstandard
+
+    texts, toxic = labelled(200, 12)
+    model = toxicity.fit([(i, y, t) for i, (y, t) in enumerate(zip(toxic, texts, strict=True))], {0: 150, 1: 50})
+    assert model.ordinary and model.toxic
+    size = lambda content, part: len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False).compress(part))
+    some = [*texts[:12], "", None, "x", " ".join(texts[:100])]
+    got = {r.doc_id: r for r in toxicity.score_texts(prepare(spark).createDataFrame(list(enumerate(some)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(some):
+        raw = (text or "").encode()
+        parts = [raw[a : a + 32] for a in range(0, max(1, len(raw) - 16), 16)]
+        gains = [size(model.ordinary, p) - size(model.ordinary + model.toxic, p) for p in parts]
+        x = [math.log1p(sum(g > k for g in gains)) for k in range(1, 13)] + [math.log(len(gains)), max(gains), sum(gains) / len(gains)]
+        z = model.weights[0] + sum(w * (a - c) for w, a, c in zip(model.weights[1:], x, model.centre, strict=True))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and got[i].predicted == (got[i].score >= 0.5)
+    assert got[15].score > 0.5
+
+
+def test_a_class_of_one_text_gives_the_share(spark):
+    model = toxicity.fit([(1, 1, "bad"), (2, 0, "good words"), (3, 0, "more words")], {0: 2, 1: 1})
+    assert model.score(np.zeros((1, 15)))[0] == pytest.approx(1.5 / 4)
+
+
 def test_repeated_rows_do_not_push_out_labelled_texts(spark):
     from quillon.llm.samples import labelled_sample
 
@@ -485,6 +510,34 @@ def test_mix(docs, rows, none):
     assert mixing.mix(none, F.lit("d"), {}).count() == 0
 
 
+def test_mix_takes_the_documents_of_the_seeded_order(docs, rows):
+    """Which documents are taken, leaf by leaf, from their hashes in order; no empty text beyond the whole epochs."""
+    weights, total = {("d", "en"): 3.0}, sum(len(cut(r[1])) for r in rows)
+    for share, epochs in ((0.9, 3), (0.5, 1), (1.0, 1)):
+        got = collections.Counter((r.doc_id, r.text, r.epoch) for r in mixing.mix(docs, F.lit("d"), weights, share=share, epochs=epochs).collect())
+        supply = collections.Counter()
+        for _, text, lang, source, _ in rows:
+            supply["d", lang, source] += len(cut(text))
+        plan = {k: divmod(b, supply[k]) if supply[k] else (1, 0) for k, b in mixing.budgets(supply, weights, share * total, epochs).items()}
+        text = F.coalesce("text", F.lit(""))
+        keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64(F.col("doc_id").cast("string"), text).alias("hash"))
+        for e in range(epochs + 1):
+            keyed = keyed.withColumn(f"h{e}", F.pmod(F.xxhash64(F.lit(29), F.lit(e), "hash"), F.lit(mixing.HASHES)))
+        want, leaves = collections.Counter(), collections.defaultdict(list)
+        for r in keyed.collect():
+            leaves["d", r.lang, r.source].append(r)
+        for leaf, members in leaves.items():
+            full, rest = plan[leaf]
+            want.update((r.doc_id, r.text, e) for r in members for e in range(full))
+            taken = 0
+            for r in sorted(members, key=lambda r: (r[f"h{full}"], r.hash)) if rest else []:
+                taken += len(cut(r.text))
+                if taken > rest:
+                    break
+                want[r.doc_id, r.text, full] += 1
+        assert got == want
+
+
 def test_mix_keeps_leaves_without_tokens(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, None, "en", "empty"), (3, " ", "en", "empty"), (4, "", "de", "off")], "doc_id long, text string, lang string, source string")
     for share, epochs in ((1.0, 1), (1.0, 2), (2.0, 2)):

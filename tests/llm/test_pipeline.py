@@ -72,3 +72,22 @@ def test_run_is_its_stages(spark, folder, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.select("doc_id", "start", "length", "ids_crc32").collect())
     assert key(corpus_pipeline.run(spark, folder)) == key(docs)
+
+
+def test_stages_on_odd_tables(spark, folder, tmp_path):
+    """Empty tables, and repeated ids, null ids and columns with the stages' own names."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = docs.select("*", *[F.lit("x").alias(c) for c in ("_epoch", "_row", "key", "score", "row", "_text_key", "g")])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, extra.limit(0), folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == extra.columns)
+        rows = extra.filter("doc_id < 12").unionByName(extra.filter("doc_id < 2")).unionByName(extra.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+        out = stage(spark, rows, folder).collect()
+        assert out and (name == "packing" or all(r._epoch == r._row == r.key == r.score == r.row == r.g == "x" for r in out))
+
+
+def test_copies_under_an_id_of_another_text(spark, folder):
+    base, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, other), (5, base), (3, base), (3, base), (None, base), (None, "alone here")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, other), (3, base), (None, "alone here")], key=str)
