@@ -61,7 +61,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, as near the target weights as one epoch allows."""
     prepare(spark)
-    return mix(docs, domain_of(), MIX_WEIGHTS, share=0.9, epochs=1, epoch_col="_epoch").select(*[f"`{c}`" for c in docs.columns])
+    free = "_epoch"
+    while free in docs.columns:
+        free += "_"
+    return mix(docs, domain_of(), MIX_WEIGHTS, share=0.9, epochs=1, epoch_col=free).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,12 +284,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens = groups.agg(F.sum("n")).first()[0] or 0
     word_shards = max(1, -(-tokens // WORD_TOKENS))
     stated = groups.select("g", "words", "counts").mapInArrow(lambda b: _state_words(b, word_shards), "g long, shard int, data binary")
-    numbered = written(stated.groupBy("shard").applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
+    spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = written(stated.repartition(max(least, word_shards), "shard").groupBy("shard").applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
     corpus = corpus_of(numbered, tokens, word_shards)
     words = numbered.filter("g >= 0")
     groups = groups.select("g", "ids", "held", "sizes", "tokens")
-    spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_group, by_shard = max(least, groups.count() // 4), max(least, corpus.shards // 4)  # tasks grow with the corpus, not in it
     groups = groups.repartition(by_group, "g")
     grams = groups.groupBy("g").cogroup(words.repartition(by_group, "g").groupBy("g")).applyInArrow(lambda t, a: _state_grams(t, a, corpus), "g long, shard int, data binary")

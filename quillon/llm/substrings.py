@@ -11,8 +11,9 @@ place, and a window is a repeat if the same sequence starts earlier (smaller
 id, or same text and earlier start).  The union of the repeats of a text are
 the maximal exact repeats; they are cut out.
 
-A false repeat needs two equal 64-bit hashes of different sequences, once of an
-anchor and once of a window around it.
+Windows are compared by a 64-bit hash.  Of W windows near anchors about
+W * W / 2**65 pairs of different ones have equal hashes by chance: under 3 of
+10**10 windows.
 
 Defined results: a null text counts as empty and has nothing to remove; texts
 shorter than `window` words stay; rows with the same id are one after another
@@ -22,6 +23,8 @@ are not read.
 
 from __future__ import annotations
 
+import json
+import re
 from itertools import compress
 
 import numpy as np
@@ -29,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
 from . import words as W
 from .exchange import grouped, in_order, pack_bits, pack_keys, planes, shard_edges, slices, unpack_bits, unpack_keys, unplanes
@@ -182,6 +186,11 @@ def _cut(table: pa.Table, answers: pa.Table, window: int, kept_fields: list[pa.F
     return pa.concat_tables(out)
 
 
+def nullable(kind: DataType) -> DataType:
+    """The type with nulls allowed everywhere, as Arrow results come back."""
+    return type(kind).fromJson(json.loads(re.sub(r'"(nullable|containsNull|valueContainsNull)":false', r'"\1":true', kind.json()))) if isinstance(kind, StructType) else kind
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block: int = 10, row: Column | None = None, verbatim: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans (word ranges cut out) and kept_text (the other words, joined by one space).
 
@@ -189,13 +198,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if 2 * block > window + 1:
         raise ValueError("a window must hold a whole reference block wherever it starts")
-    own, shards = grouped(docs.withColumn(id_col, docs[id_col].cast("long")), id_col, text_col, {} if row is None else {"row": row})
-    carried = [f for f in own.schema if f.name == "row"]
+    kind = None if row is None else nullable(docs.select(row.alias("row")).schema["row"].dataType)
+    own, shards = grouped(docs.withColumn(id_col, docs[id_col].cast("long")), id_col, text_col, {} if kind is None else {"row": row.cast(kind)})
+    carried = [] if kind is None else [StructField("row", kind)]
     fields = [pa.field("row", to_arrow_type(f.dataType)) for f in carried]
     bare = own.select("g", "doc_id", "text")
     probes = bare.groupBy("g").applyInArrow(lambda t: _state_anchors(t, block, shards), "g int, shard int, keys binary, n long, blocks binary, more binary")
     anchors = probes.groupBy("shard").applyInArrow(_find_anchors, "g int, keys binary")
     stated = bare.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(lambda t, a: _state_windows(t, a, block, window, shards), "g int, shard int, keys binary, ids binary, places binary, more binary")
     repeats = stated.groupBy("shard").applyInArrow(_find_repeats, "g int, kind int, keys binary")
-    out = "doc_id long, " + "".join(f"row {f.dataType.simpleString()}, " for f in carried) + "n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept_text string"
+    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    out = StructType([StructField("doc_id", LongType()), *carried, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", ArrayType(span)), StructField("kept_text", StringType())])
     return own.groupBy("g").cogroup(repeats.groupBy("g")).applyInArrow(lambda t, a: _cut(t, a, window, fields, verbatim), out)
