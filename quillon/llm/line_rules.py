@@ -136,7 +136,7 @@ def judge(column: pa.Array, rules: LineRules, with_text: bool) -> dict[str, obje
     failed |= (bars > rules.most_separators * count) & (bars > 1)
     stutter = np.zeros(len(words.starts), bool)
     stutter[1:] = words.hashes[1:] == words.hashes[:-1]
-    stuttered = _per_line(stutter, first, first + count)
+    stuttered = _per_line(stutter, first + 1, first + count)
     failed |= (count >= rules.stutter_words) & (stuttered > rules.most_stuttered * count)
     if len(edges) and (hits := _phrases(data)):
         begin, end = np.array(hits).T

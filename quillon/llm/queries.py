@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bit_sliced, near_dup, ordinal, toxicity
-from .line_rules import line_first_clean
+from .line_rules import BOILERPLATE, CLOSING, line_first_clean
 from .mixing import mix
 from .ngram_lm import score_texts
 from .packing import pack
@@ -110,4 +110,60 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op1_bit_sliced_topk": OP1_SQL}
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: All pairs of distinct texts by their shared shingles, then the classes that the links reach.
+OP2_SQL = f"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id, any_value({WORDS.format("coalesce(text, '')")}) AS w FROM documents GROUP BY 1),
+c AS (SELECT id, array_to_string(w[i:i + 4], ' ') AS g, count(*) AS n FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0) GROUP BY ALL),
+z AS (SELECT id, sum(n) AS n FROM c GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id AS root FROM t UNION SELECT b, root FROM r JOIN both_ways ON a = id)
+SELECT doc_id, class_id FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN (SELECT id, min(root) AS class_id FROM r GROUP BY id) USING (id)
+"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The rules of LineRules() on every line, one after another.
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM k WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, line, {WORDS.format("line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (
+  SELECT doc_id, line, len(w) AS n, strlen(array_to_string(w, '')) AS bytes, w[-1][-1] AS last, translate(line, '{UPPER}', '{LOWER}') AS low,
+    strlen(regexp_replace(line, '[^#*$%&<>]', '', 'g')) AS symbols, strlen(regexp_replace(line, '[^|]', '', 'g')) AS bars, strlen(regexp_replace(line, '[^!]', '', 'g')) AS marks,
+    strlen(regexp_replace(line, '[^a-z]', '', 'g')) AS small, strlen(regexp_replace(line, '[^A-Z]', '', 'g')) AS capital,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stuttered
+  FROM l WHERE len(w) > 0
+),
+f AS (
+  SELECT doc_id, line, n, bytes,
+    symbols > 0.3::DOUBLE * n OR marks > 0.5::DOUBLE * n AND capital > small OR n <= 3 AND NOT contains('{{closing}}', last)
+    OR bars > 0.2::DOUBLE * n AND bars > 1 OR n >= 8 AND stuttered > 0.5::DOUBLE * n OR {{phrases}} AS failed
+  FROM m
+),
+s AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (failed) AS n_removed_lines,
+    coalesce(sum(n) FILTER (NOT failed), 0)::BIGINT AS n_kept_words, coalesce(sum(bytes) FILTER (failed), 0) / sum(bytes) AS lost
+  FROM f GROUP BY doc_id
+),
+b AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, strlen(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(n_kept_words, 0) AS n_kept_words, coalesce(lost, 0)::DOUBLE AS lost
+  FROM d LEFT JOIN s USING (doc_id) LEFT JOIN rep USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT base_failed AND lost <= 0.3::DOUBLE AND n_kept_words >= 10 AS kept FROM b
+""".format(closing=CLOSING.replace("'", "''"), phrases=" OR ".join(f"contains(low, '{p.replace(chr(39), chr(39) * 2)}')" for p in BOILERPLATE))
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM k WHERE r > 1),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_bit_sliced_topk": OP1_SQL, "op2_bag_minhash": OP2_SQL, "op5_line_rules": OP5_SQL, "op8_substring_dedup": OP8_SQL}
