@@ -63,16 +63,15 @@ def fold_diacritics(token: Column) -> Column:
     return F.when(token.rlike(r"[^\x00-\x7F]"), F.translate(token, MARKED, PLAIN)).otherwise(token)
 
 
-def _without(tokens: Column, words: Column) -> Column:
-    return F.filter(tokens, lambda t: ~F.array_contains(words, t))
+def _without(tokens: Column, words: list[str]) -> Column:
+    return F.filter(tokens, lambda t: ~t.isin(words))
 
 
 def filter_stop_words(tokens: Column, lang: Column) -> Column:
     """Tokens without the stop words of their language; of an unknown language, unchanged."""
     out = tokens
     for code in STOP_WORDS:
-        words = F.array(*[F.lit(w) for w in stop_words(code)])
-        out = F.when(lang == code, _without(tokens, words)).otherwise(out)
+        out = F.when(lang == code, _without(tokens, stop_words(code))).otherwise(out)
     return out
 
 
@@ -81,8 +80,7 @@ def detect_language(text: Column) -> Column:
     low, tokens = F.lower(text), tokenize(text)
 
     def hits(lang: str) -> Column:
-        words = F.array(*[F.lit(w) for w in detect_words(lang)])
-        return 2 * F.size(F.filter(tokens, lambda t: F.array_contains(words, t)))
+        return 2 * F.size(F.filter(tokens, lambda t: t.isin(detect_words(lang))))
 
     def has(part: str, points: int) -> Column:
         return F.when(low.contains(part), points).otherwise(0)

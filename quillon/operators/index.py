@@ -1,10 +1,10 @@
-"""Inverted index: postings, document lengths and corpus statistics as DataFrames."""
+"""Inverted index: postings with positions, vocabulary, document lengths and corpus statistics, written once and read by searches."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import fold_diacritics, tokenize
@@ -12,15 +12,21 @@ from quillon.functions.text import fold_diacritics, tokenize
 
 @dataclass
 class Index:
-    """postings: term, doc_id, title_tf, content_tf.  lengths: doc_id, length.  stats: one row, n_docs, mean_length.
+    """postings: term, doc_id, title_tf, content_tf, positions (in the content).  vocabulary: term, n_docs.
 
-    folded: terms have no diacritics, and those of a query are folded likewise.
+    lengths: doc_id, length.  stats: one row, n_docs, mean_length.  folded: terms have no diacritics, and those of a
+    query are folded likewise.
     """
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
     folded: bool = False
+    vocabulary: DataFrame | None = None
+
+    def terms(self) -> DataFrame:
+        """The distinct terms."""
+        return self.postings.select("term").distinct() if self.vocabulary is None else self.vocabulary.select("term")
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
@@ -28,8 +34,17 @@ def tokens_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").alias("doc_id"), tokenize(F.col("title")).alias("title_tokens"), tokenize(F.col("content")).alias("content_tokens"))
 
 
+def _postings(tokens: DataFrame, folded: bool) -> DataFrame:
+    """Aggregated before the shuffle; a place in the title counts below zero."""
+    places = F.concat(F.transform("title_tokens", lambda t, i: F.struct(t.alias("term"), (-1 - i).alias("at"))), F.transform("content_tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+    each = tokens.select("doc_id", F.explode(places).alias("t"))
+    term = fold_diacritics(F.col("t.term")) if folded else F.col("t.term")
+    at = each.groupBy(term.alias("term"), "doc_id").agg(F.count(F.when(F.col("t.at") < 0, 1)).alias("title_tf"), F.array_sort(F.collect_list(F.when(F.col("t.at") >= 0, F.col("t.at")))).alias("positions"))
+    return at.select("term", "doc_id", "title_tf", F.size("positions").cast("long").alias("content_tf"), "positions")
+
+
 def build(docs: DataFrame, folded: bool = True) -> Index:
-    """Postings are aggregated before the shuffle; lengths and statistics need no shuffle of tokens."""
+    """The index as a plan; `write` keeps it."""
     tokens = tokens_of(docs)
     marked = F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("title"))), F.transform("content_tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("title"))))
     each = tokens.select("doc_id", F.explode(marked).alias("t"))
@@ -39,6 +54,34 @@ def build(docs: DataFrame, folded: bool = True) -> Index:
     return Index(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")), folded)
 
 
+def write(docs: DataFrame, path: str, folded: bool = True) -> None:
+    """Tables of an index below a folder: one pass tokenises, postings lie in the order of their terms, so that a search for some terms skips the other files and row groups."""
+    spark = docs.sparkSession
+    tokens_of(docs).write.mode("overwrite").parquet(f"{path}/tokens")
+    tokens = spark.read.parquet(f"{path}/tokens")
+    _postings(tokens, folded).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    tokens.select("doc_id", (F.size("title_tokens") + F.size("content_tokens")).cast("long").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read(spark: SparkSession, path: str, folded: bool = True) -> Index:
+    postings, lengths, stats, vocabulary = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "stats", "vocabulary"))
+    return Index(postings, lengths, stats, folded, vocabulary)
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, title_tokens, content_tokens as they were indexed, not folded."""
+    return spark.read.parquet(f"{path}/tokens")
+
+
 def positions(docs: DataFrame, column: str = "content") -> DataFrame:
     """term, doc_id, pos of one column."""
     return docs.select(F.col("id").alias("doc_id"), F.posexplode(tokenize(F.col(column))).alias("pos", "term"))
+
+
+def is_consecutive(places: Column) -> Column:
+    """Whether arrays of positions, one for each word in order, hold one place after another somewhere."""
+    first = F.element_at(places, 1)
+    return F.exists(first, lambda p: F.forall(F.transform(places, lambda ps, i: F.array_contains(ps, p + i)), lambda x: x))

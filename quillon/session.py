@@ -1,13 +1,16 @@
-"""Session helpers."""
+"""Session helpers: the package on the workers, and written tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Where tables go if spark.checkpoint.dir is unset, on one machine only.
+LOCAL = "/tmp/checkpoints"
 
 
 def on_workers(spark: SparkSession) -> SparkSession:
@@ -17,3 +20,31 @@ def on_workers(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; without it, a local one where the master is local, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for tables of this application in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet into the shared folder and read again: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
