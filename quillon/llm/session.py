@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.session import on_workers
+from quillon.session import on_workers, shared_dir, written
+
+__all__ = ["ARROW_ROWS", "documents", "prepare", "shared_dir", "written"]
 
 #: Rows of one Arrow batch handed to Python; texts of some 100 KB still make batches of tens of MB.
 ARROW_ROWS = 1000
-FALLBACK = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK).rstrip("/")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,13 +17,5 @@ def prepare(spark: SparkSession) -> SparkSession:
     return on_workers(spark)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
