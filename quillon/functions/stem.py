@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,10 +214,29 @@ def stems_of(tokens: DataFrame) -> DataFrame:
 
 
 def stem_texts(docs: DataFrame, text_col: str = "content") -> DataFrame:
-    """id, stemmed: tokens without stop words, stemmed, joined by spaces; of an unknown language, the tokens."""
-    tokens = docs.select("id", "lang", F.posexplode_outer(filter_stop_words(tokenize(F.col(text_col)), F.col("lang"))).alias("pos", "token"))
-    known = F.col("lang").isin(list(STEMMERS))
-    stems = stems_of(tokens.filter(known & F.col("token").isNotNull()))
-    joined = tokens.join(stems, ["token", "lang"], "left").select("id", "pos", F.coalesce("stem", "token").alias("stem"))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
-    return joined.groupBy("id").agg(F.array_join(F.transform(ordered, lambda s: s["stem"]), " ").alias("stemmed"))
+    """id, stemmed: tokens without stop words, stemmed, joined by spaces; of an unknown language, the tokens.
+
+    One pass in Arrow batches without a shuffle; a worker stems a word of a language once while it remembers it.
+    """
+    stemmers, most = dict(STEMMERS), 1 << 20
+    rows = docs.select("id", "lang", filter_stop_words(tokenize(F.coalesce(F.col(text_col), F.lit(""))), F.col("lang")).alias("tokens"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[str, str]] = {}
+        for batch in batches:
+            out = []
+            for lang, tokens in zip(batch.column("lang").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                stem = stemmers.get(lang)
+                if stem is not None:
+                    memory = known.setdefault(lang, {})
+                    if len(memory) > most:
+                        memory.clear()
+                    for t in tokens:
+                        if t not in memory:
+                            memory[t] = stem(t)
+                    tokens = [memory[t] for t in tokens]
+                out.append(" ".join(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], ["id", "stemmed"])
+
+    return rows.mapInArrow(run, f"id {kind}, stemmed string")

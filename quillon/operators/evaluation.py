@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,3 +91,54 @@ def rank_histogram(first_ranks: DataFrame) -> DataFrame:
     r = F.col("rank")
     bucket = F.when(r.isNull(), "miss").when(r == 1, "1").when(r == 2, "2").when(r == 3, "3").when(r <= 5, "4-5").when(r <= 10, "6-10").otherwise("miss")
     return first_ranks.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def categories(at: DataFrame, single: DataFrame, failures: DataFrame, category: DataFrame) -> DataFrame:
+    """category, k, n, passed, failed and mean p, r, f1, hr, ndcg, mrr, ap, rprec; queries without a category are "uncategorized".
+
+    failures: qid of failed thresholds and negatives found; category: qid, category.
+    """
+    named = category.select("qid", F.when(F.coalesce("category", F.lit("")) == "", "uncategorized").otherwise(F.col("category")).alias("category"))
+    bad = failures.select("qid").distinct().withColumn("bad", F.lit(1))
+    rows = at.join(single.select("qid", "mrr", "ap", "rprec"), "qid", "left").join(named, "qid", "left").join(bad, "qid", "left").fillna({"category": "uncategorized", "bad": 0})
+    means_ = [F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("p", "r", "f1", "hr", "ndcg", "mrr", "ap", "rprec")]
+    return rows.groupBy("category", "k").agg(F.count("*").alias("n"), F.sum(1 - F.col("bad")).alias("passed"), F.sum("bad").alias("failed"), *means_)
+
+
+@dataclass
+class Report:
+    """Metrics by query and cutoff, metrics by query, failures (qid, reason), means by cutoff and by category."""
+
+    at: DataFrame
+    single: DataFrame
+    failures: DataFrame
+    means: DataFrame
+    categories: DataFrame
+
+
+def run_all(search: Callable[[DataFrame, int], DataFrame], qrels: DataFrame, cutoffs: Sequence[int] = CUTOFFS, limit: int = 10) -> Report:
+    """Search all judged queries in one batch and report on them.
+
+    search: of queries (qid, query, lang) and a limit, gives qid, rank, item.  qrels: query, lang, category, relevant and,
+    where there are any, negative, variants, min_metrics (name -> least value).  Every variant is a query of its own.
+    """
+    columns = set(qrels.columns)
+    every = expand_variants(qrels) if "variants" in columns else qrels
+    every = every.withColumn("qid", F.xxhash64("query", *(c for c in ("lang", "category") if c in columns)))
+    lang = F.col("lang") if "lang" in columns else F.lit("")
+    ranking = search(every.select("qid", "query", lang.alias("lang")), limit).filter(F.col("rank") <= limit).select("qid", "rank", "item")
+    relevant = every.select("qid", F.explode("relevant").alias("item"))
+    rows = judged(ranking, relevant)
+    everyone = every.select("qid").distinct()
+    at = at_k(rows, relevant, cutoffs)
+    single = everyone.join(per_query(rows, relevant), "qid", "left").fillna(0.0)
+    failures = everyone.limit(0).select("qid", F.lit("").alias("reason"))
+    if "min_metrics" in columns:
+        wanted = every.select("qid", F.explode("min_metrics").alias("name", "least"))
+        failed = threshold_failures(at, single, wanted)
+        failures = failures.unionByName(failed.select("qid", F.format_string("%s %.3f < %.3f", "name", "value", "least").alias("reason")))
+    if "negative" in columns:
+        found = negatives_found(ranking, every.select("qid", F.explode("negative").alias("item")))
+        failures = failures.unionByName(found.select("qid", F.concat(F.lit("negative found: "), F.col("item").cast("string")).alias("reason")))
+    category = every.select("qid", (F.col("category") if "category" in columns else F.lit("")).alias("category"))
+    return Report(at, single, failures, means(at, "k"), categories(at, single, failures, category))

@@ -79,11 +79,13 @@ def link_scores(edges: DataFrame) -> DataFrame:
 
 
 def mean_vectors(chunks: DataFrame) -> DataFrame:
-    """doc_id, vec: the mean of the chunks' vectors of the most common length, normalised to length 1."""
-    each = chunks.select("doc_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
-    mean = each.groupBy("doc_id", "pos").agg(F.avg("x").alias("x"))
-    vec = mean.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
-    return vec.withColumn("vec", normalize(F.col("vec")))
+    """doc_id, vec: the mean of a document's vectors that are as long as its first one (by chunk), normalised to length 1."""
+    by = F.col("chunk_id") if "chunk_id" in chunks.columns else F.size("embedding")
+    each = chunks.filter(F.size("embedding") > 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(by.alias("by"), F.col("embedding").cast("array<double>").alias("v")))).alias("vs"))
+    width = F.size(F.col("vs")[0]["v"])
+    same = each.select("doc_id", width.alias("width"), F.transform(F.filter("vs", lambda s: F.size(s["v"]) == width), lambda s: s["v"]).alias("vs"))
+    mean = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.aggregate("vs", F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.size("vs"))
+    return same.select("doc_id", mean.alias("vec")).withColumn("vec", normalize(F.col("vec")))
 
 
 def normalize(v: Column) -> Column:
@@ -107,14 +109,44 @@ def looks_mocked(vectors: DataFrame) -> DataFrame:
     return first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("n").alias("top")).select("n", F.coalesce(F.col("top") / F.col("n"), F.lit(0.0)).alias("share"), ((F.col("n") == 0) | (F.col("n") >= 8) & (F.col("top") / F.col("n") > 0.5)).alias("mocked"))
 
 
-def pair_scores(signals: dict[str, DataFrame], title: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """a, b, sem, lex, link, cat, score > 0 from signals of the same names; pairs in none have no row."""
+def candidates(signals: dict[str, DataFrame]) -> DataFrame:
+    """a, b of all pairs that some signal knows: without vectors, the postings of terms and tags and the links alone."""
+    rows = None
+    for part in signals.values():
+        pairs = part.filter("score > 0").select("a", "b")
+        rows = pairs if rows is None else rows.unionByName(pairs)
+    return rows.distinct()
+
+
+def with_titles(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    """pairs with title: Jaccard of both documents' title terms; titles: doc_id, terms (distinct).  No pair is made by a title."""
+    for side in ("a", "b"):
+        pairs = pairs.join(titles.select(F.col("doc_id").alias(side), F.col("terms").alias(f"terms_{side}")), side, "left")
+    shared, both = F.size(F.array_intersect("terms_a", "terms_b")), F.size(F.array_union("terms_a", "terms_b"))
+    return pairs.withColumn("title", F.when(both > 0, shared / both).otherwise(F.lit(0.0))).drop("terms_a", "terms_b")
+
+
+def shared_tags(pairs: DataFrame, tags: DataFrame, rarest: bool = False) -> DataFrame:
+    """a, b, tag: the first tag that both have, or the one of the fewest documents (ties: the first); pairs without one have no row."""
+    df = tags.select("doc_id", "tag").distinct().groupBy("tag").agg(F.count("*").alias("df")) if rarest else None
+    each = tags.select("doc_id", "tag").distinct()
+    if df is not None:
+        each = each.join(df, "tag")
+    item = F.struct("df", "tag") if rarest else F.struct("tag")
+    sets = each.groupBy("doc_id").agg(F.collect_list(item).alias("tags"))
+    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tags").alias("of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tags").alias("of_b")), "b")
+    return both.select("a", "b", F.array_min(F.array_intersect("of_a", "of_b"))["tag"].alias("tag")).filter("tag IS NOT NULL")
+
+
+def pair_scores(signals: dict[str, DataFrame], titles: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """a, b, sem, lex, link, cat, score > 0 from signals of the same names; pairs in none have no row.  titles: doc_id, terms."""
     rows = None
     for name in ("sem", "lex", "link", "cat"):
         part = signals[name].select("a", "b", F.struct(F.lit(name).alias("name"), F.col("score").alias("value")).alias("s"))
         rows = part if rows is None else rows.unionByName(part)
     value = lambda n: F.coalesce(F.max(F.when(F.col("s.name") == n, F.col("s.value"))), F.lit(0.0)).alias(n)
-    wide = rows.groupBy("a", "b").agg(*map(value, ("sem", "lex", "link", "cat"))).join(title.select("a", "b", F.col("score").alias("title")), ["a", "b"], "left")
+    wide = rows.groupBy("a", "b").agg(*map(value, ("sem", "lex", "link", "cat")))
+    wide = with_titles(wide, titles)
     raw = s.semantic * F.col("sem") + s.lexical * F.col("lex") + s.link * F.col("link") + s.category * F.col("cat")
     trivial = (F.coalesce("title", F.lit(0.0)) >= 0.5) & (F.col("sem") < s.trivial) & (F.col("link") == 0) & (F.col("cat") == 0)
     score = F.when(trivial, raw * s.demotion).otherwise(raw)
@@ -162,3 +194,18 @@ def mmr(pooled: DataFrame, vectors: DataFrame, salient: DataFrame, s: Settings =
     terms = salient.groupBy(F.col("doc_id").alias("b")).agg(F.collect_list("term").alias("terms"))
     rows = pooled.join(vectors.select(F.col("doc_id").alias("b"), "vec"), "b", "left").join(terms, "b", "left").select("a", "b", "rank", "score", "vec", "terms")
     return rows.groupBy("a").applyInPandas(lambda p: diversify(p, s), "a long, rank int, b long, score double")
+
+
+def compute_all(docs: DataFrame, terms: DataFrame, tags: DataFrame, edges: DataFrame, chunks: DataFrame, titles: DataFrame, s: Settings = Settings(), rarest_tag: bool = False) -> DataFrame:
+    """a, rank, b, score, reasons: every document's related ones.
+
+    terms: doc_id, term; tags: doc_id, tag; edges: src, dst; chunks: doc_id, chunk_id, embedding; titles: doc_id, terms.
+    Vectors that look mocked, or are missing, do not count: then only pairs of shared terms, tags or links are scored.
+    """
+    vectors = mean_vectors(chunks)
+    vectors = vectors.crossJoin(F.broadcast(looks_mocked(vectors).select("mocked"))).filter(~F.col("mocked")).drop("mocked")
+    best = salient_terms(terms, docs.count(), s.salient)
+    signals = {"sem": semantic_scores(vectors), "lex": jaccard(best, "term"), "link": link_scores(edges), "cat": overlap(tags, "tag")}
+    pooled = pool(pair_scores(signals, titles, s), s)
+    named = pooled.join(shared_tags(pooled, tags, rarest_tag), ["a", "b"], "left").select("a", "b", reasons(F.col("tag")).alias("reasons"))
+    return mmr(pooled, vectors, best, s).join(named, ["a", "b"]).select("a", "rank", "b", "score", "reasons")

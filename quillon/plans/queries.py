@@ -514,7 +514,9 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, term) <= 24)
 
 
 def document_terms(spark, sf):
-    return corpus.documents(spark, sf).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(T.tokenize(F.col("content")))).alias("term"))
+    """Distinct content terms of the documents, as they were indexed."""
+    tokens = I.read_tokens(spark, written_index(spark, sf, True))
+    return tokens.select("doc_id", F.explode(F.array_distinct("content_tokens")).alias("term"))
 
 
 def salient(spark, sf):
@@ -608,9 +610,9 @@ pool AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS
 
 
 def scored_pairs(spark, sf):
-    titles = corpus.documents(spark, sf).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(T.tokenize(F.col("title")))).alias("term"))
+    titles = corpus.documents(spark, sf).select(F.col("id").alias("doc_id"), F.array_distinct(T.tokenize(F.col("title"))).alias("terms"))
     signals = {"sem": R.semantic_scores(R.mean_vectors(corpus.chunks(spark, sf))), "lex": R.jaccard(salient(spark, sf), "term"), "link": R.link_scores(page_edges(spark, sf)), "cat": R.overlap(tags(spark, sf), "tag")}
-    return R.pair_scores(signals, R.jaccard(titles, "term"))
+    return R.pair_scores(signals, titles)
 
 
 @query(f"WITH {PAIR_SQL} SELECT a, b, round(score, 5) AS score FROM pool WHERE rank <= 10")

@@ -40,3 +40,32 @@ def items(feed: DataFrame, repository: str, kind: str) -> DataFrame:
         item_path(F.lit(repository), kind, F.col("number")).alias("path"), "title", F.lit("issue" if kind == "issue" else "pull_request").alias("doc_type"),
         compose_content(F.col("title"), F.col("body"), comments).alias("content"), item_hash(F.col("title"), F.col("body"), comments).alias("hash"),
     )
+
+
+def differing(files: DataFrame, known: DataFrame) -> DataFrame:
+    """path, hash of the files (path, content) whose hash is not the stored one: the check of single files."""
+    hashed = files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+    return hashed.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
+def open_items(feed: DataFrame, kind: str) -> DataFrame:
+    """Items of a feed that are open; a feed of issues may hold pull requests, which are left out of it."""
+    rows = feed.filter(F.lower("state") == "open")
+    return rows.filter(~F.coalesce("is_pull_request", F.lit(False))) if kind == "issue" and "is_pull_request" in feed.columns else rows
+
+
+def one_item(feed: DataFrame, number: int) -> DataFrame:
+    """The item of a number, open or not."""
+    return feed.filter(F.col("number") == number)
+
+
+def closed_items(known: DataFrame, feed: DataFrame, repository: str, kind: str) -> DataFrame:
+    """Known paths of a repository's items of a kind that are not among its open items any more."""
+    here = F.concat(F.lit("gh:"), F.lit(repository), F.lit("/issues/" if kind == "issue" else "/pull/"))
+    now = open_items(feed, kind).select(item_path(F.lit(repository), kind, F.col("number")).alias("path"))
+    return known.filter(F.startswith("path", here)).select("path").join(now, "path", "left_anti")
+
+
+def under(docs: DataFrame, prefix: str) -> DataFrame:
+    """Documents whose path begins with a prefix."""
+    return docs.filter(F.startswith("path", F.lit(prefix)))
