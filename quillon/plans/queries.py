@@ -712,6 +712,179 @@ def rank_histogram(spark, sf):
     return E.rank_histogram(E.judged(ranking, relevant).groupBy("qid").agg(F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("rank")))
 
 
+# --- further parts of the operators above, each with rows of its own
+
+LEX_SQL = _shared_sql('sal', 'term', JACCARD).replace('sized', 'zl').replace('sh AS', 'hl AS').replace('FROM sh', 'FROM hl').replace('sc AS', 'lex AS')
+CAT_SQL = _shared_sql('tags', 'tag', 'shared / least(sa.size, sb.size)').replace('sized', 'zt').replace('sh AS', 'ht AS').replace('FROM sh', 'FROM ht').replace('sc AS', 'cat AS')
+
+
+@query(f"WITH {SALIENT_SQL}, {LEX_SQL}, {TAG_SQL}, {CAT_SQL}, {EDGE_SQL}, {_link_sql()} SELECT a, b FROM lex UNION SELECT a, b FROM cat UNION SELECT a, b FROM linked WHERE score > 0")
+def candidates_postings(spark, sf):
+    return R.candidates({"lex": R.jaccard(salient(spark, sf), "term"), "link": R.link_scores(page_edges(spark, sf)), "cat": R.overlap(tags(spark, sf), "tag")})
+
+
+@query(f"WITH {TAG_SQL} SELECT x.doc_id AS a, y.doc_id AS b, min(x.tag) AS tag FROM tags x JOIN tags y USING (tag) WHERE x.doc_id < y.doc_id GROUP BY ALL")
+def first_shared_tag(spark, sf):
+    rows = tags(spark, sf)
+    return R.shared_tags(R.overlap(rows, "tag").filter("a < b"), rows)
+
+
+@query(f"WITH {TAG_SQL}, w AS (SELECT *, count(*) OVER (PARTITION BY tag) AS df FROM tags) SELECT x.doc_id AS a, y.doc_id AS b, arg_min(x.tag, (x.df, x.tag)) AS tag FROM w x JOIN w y USING (tag) WHERE x.doc_id < y.doc_id GROUP BY ALL")
+def rarest_shared_tag(spark, sf):
+    rows = tags(spark, sf)
+    return R.shared_tags(R.overlap(rows, "tag").filter("a < b"), rows, rarest=True)
+
+
+@query(f"""WITH {PAIR_SQL}, first_tag AS (SELECT x.doc_id AS a, y.doc_id AS b, min(x.tag) AS tag FROM tags x JOIN tags y USING (tag) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+SELECT a, b, array_to_string(list_filter([CASE WHEN link >= 0.999 THEN 'linked' END, CASE WHEN link >= 0.65 AND link < 0.999 THEN 'back-linked' END, CASE WHEN link > 0 AND link < 0.65 THEN 'co-cited' END,
+'tag:' || tag, CASE WHEN sem >= 0.55 THEN 'semantic' END, CASE WHEN lex >= 0.12 THEN 'shared-terms' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pool LEFT JOIN first_tag USING (a, b)""")
+def related_reasons_tagged(spark, sf):
+    pooled = R.pool(scored_pairs(spark, sf))
+    named = pooled.join(R.shared_tags(pooled, tags(spark, sf)), ["a", "b"], "left")
+    return named.select("a", "b", F.array_join(R.reasons(F.col("tag")), ",").alias("reasons"))
+
+
+@query(f"WITH {EDGE_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), u AS (SELECT src AS doc_id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT doc_id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM u GROUP BY doc_id")
+def link_count(spark, sf):
+    return M.link_count(page_edges(spark, sf))
+
+
+@query(f"WITH {DOCS_SQL} SELECT source, count(*) AS n, md5(string_agg(path, chr(10) ORDER BY path)) AS digest FROM docs GROUP BY source")
+def paths_by_source(spark, sf):
+    return M.paths_by_source(corpus.documents(spark, sf)).select("source", "n", F.md5(F.array_join("paths", "\n")).alias("digest"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT id, path FROM docs WHERE starts_with(path, '/src1/en/')")
+def filter_path_prefix(spark, sf):
+    from quillon.sources.files import under
+
+    return under(corpus.documents(spark, sf), "/src1/en/").select("id", "path")
+
+
+@query(f"WITH {INDEX_SQL}, {BENCH_SQL}, {BM25_SQL} SELECT qid, rank, doc_id FROM fts JOIN docs ON id = doc_id WHERE source IN ('src0', 'src2')")
+def site_scope(spark, sf):
+    docs = corpus.documents(spark, sf)
+    hits = S.fts_arm(index_of(spark, sf, False), S.prepare_queries(bench_queries(spark, sf)), 10)
+    kept = S.scope("", ("src0", "src2")).apply(docs).select(F.col("id").alias("doc_id"))
+    return hits.join(kept, "doc_id", "left_semi").select("qid", "rank", "doc_id")
+
+
+@query("SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS x FROM embeddings, range(1, 65) r(i)")
+def l2_normalize_whole(spark, sf):
+    vectors = corpus.table(spark, sf, "embeddings").select("vec_id", F.posexplode(R.normalize(F.col("embedding").cast("array<double>"))).alias("pos", "x"))
+    return vectors.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {DOCS_SQL}, {CHUNKS_SQL} SELECT chunk_id FROM chunks SEMI JOIN docs ON docs.id = chunks.doc_id")
+def prune_vectors(spark, sf):
+    chunks = corpus.chunks(spark, sf)
+    return M.prune_orphans(corpus.documents(spark, sf), chunks.select("chunk_id", "doc_id"), chunks.select("chunk_id"))[1]
+
+
+@query(f"WITH {INDEX_SQL} SELECT term, count(*) AS n FROM postings WHERE doc_id % 3 <> 0 GROUP BY term")
+def prune_postings(spark, sf):
+    kept = corpus.documents(spark, sf).filter("id % 3 <> 0")
+    return M.prune_postings(kept, index_of(spark, sf, False).postings).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DOCS_SQL}, {CHUNKS_SQL} SELECT chunk_id, doc_id FROM chunks ANTI JOIN (SELECT id FROM docs WHERE source = 'src3') g ON g.id = doc_id")
+def delete_chunks_by_paths(spark, sf):
+    docs = corpus.documents(spark, sf)
+    return M.delete_by_paths(docs, corpus.chunks(spark, sf), docs.filter("source = 'src3'").select("path"))[1].select("chunk_id", "doc_id")
+
+
+@query(f"""WITH {DOCS_SQL}, {CHUNKS_SQL} SELECT doc_id, CAST(chunk_id % 3 AS INTEGER) AS chunk_index, md5(CAST(chunk_id AS VARCHAR)) AS digest FROM chunks WHERE doc_id % 2 = 0
+UNION ALL SELECT id, 0, md5(content) FROM docs WHERE id IN (SELECT vec_id FROM embeddings) AND NOT (id % 2 = 0 AND id IN (SELECT doc_id FROM chunks))""")
+def default_single_chunk(spark, sf):
+    from quillon.functions.markdown import default_single_chunk as complete
+
+    vectors = corpus.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    docs = corpus.documents(spark, sf).join(vectors, "id")
+    held = corpus.chunks(spark, sf).filter("doc_id % 2 = 0").select("doc_id", (F.col("chunk_id") % 3).cast("int").alias("chunk_index"), F.col("chunk_id").cast("string").alias("text"), "embedding")
+    return complete(docs, held).select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {KNOWN_SQL} SELECT path, hash FROM docs ANTI JOIN known USING (path, hash)")
+def check_file(spark, sf):
+    from quillon.sources.files import differing
+
+    docs = corpus.documents(spark, sf)
+    return differing(docs.select("path", "content"), known_before(docs))
+
+
+def item_feed(spark, sf):
+    """Conversations as items of a repository: every third one is closed, every fifth a pull request."""
+    number = F.col("conv_id")
+    return conversation_items(spark, sf).select(number.alias("number"), "title", "body", "comments", F.when(number % 3 == 0, "closed").otherwise("open").alias("state"), (number % 5 == 0).alias("is_pull_request"))
+
+
+FEED_SQL = f"{ITEM_SQL}, feed AS (SELECT conv_id AS number, title, body, comments, CASE WHEN conv_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, conv_id % 5 = 0 AS pull FROM items)"
+
+
+@query(f"""WITH {FEED_SQL} SELECT 'gh:o/r/issues/' || number AS path, 'issue' AS doc_type, sha256(array_to_string(list_concat([title, body], list_filter(comments, lambda c: c <> '')[1:100]), chr(10))) AS hash
+FROM feed WHERE state = 'open' AND NOT pull""")
+def issues_source(spark, sf):
+    from quillon.sources.files import items, open_items
+
+    return items(open_items(item_feed(spark, sf), "issue"), "o/r", "issue").select("path", "doc_type", "hash")
+
+
+@query(f"""WITH {FEED_SQL} SELECT 'gh:o/r/pull/' || number AS path, 'pull_request' AS doc_type, sha256(array_to_string(list_concat([title, body], list_filter(comments, lambda c: c <> '')[1:100]), chr(10))) AS hash
+FROM feed WHERE state = 'open' AND pull""")
+def pulls_source(spark, sf):
+    from quillon.sources.files import items, open_items
+
+    return items(open_items(item_feed(spark, sf).filter("is_pull_request"), "pull"), "o/r", "pull").select("path", "doc_type", "hash")
+
+
+@query(f"WITH {FEED_SQL} SELECT 'gh:o/r/issues/' || number AS path FROM feed WHERE state <> 'open' OR pull")
+def closed_items(spark, sf):
+    from quillon.sources.files import closed_items as gone
+
+    feed = item_feed(spark, sf)
+    known = feed.select(F.concat(F.lit("gh:o/r/issues/"), F.col("number").cast("string")).alias("path"))
+    return gone(known, feed, "o/r", "issue")
+
+
+#: Pages as Markdown files with front matter: every other one has a slug, all have tags and a link to the page after.
+WALK_SQL = """n AS (SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'page-' || page_id ELSE 'f' || page_id END AS slug, page_id % 7 AS tag FROM pages)"""
+
+
+def walked(spark, sf):
+    from quillon.functions.markdown import front_matter_walk
+
+    number = F.col("page_id").cast("string")
+    after = F.col("page_id") + 1
+    target = F.concat(F.when(after % 2 == 0, "page-").otherwise("f"), after.cast("string"))
+    head = F.concat(F.lit("---\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("slug: page-"), number, F.lit("\n"))).otherwise(""), F.lit("tags: [b, t"), (F.col("page_id") % 7).cast("string"), F.lit("]\n---\n"))
+    pages = corpus.table(spark, sf, "pages").select("page_id", F.concat(F.lit("f"), number, F.lit(".md")).alias("path"), F.concat(head, F.lit("See [it](/"), target, F.lit("/) and [web](https://x.org/y).\n")).alias("content"))
+    docs = pages.select(F.col("page_id").alias("id"), F.concat(F.when(F.col("page_id") % 3 == 0, "content/").when(F.col("page_id") % 3 == 1, "").otherwise("elsewhere/"), "path").alias("path"))
+    return front_matter_walk(pages.select("path", "content"), docs, ["tags"], "content")
+
+
+@query(f"WITH {WALK_SQL} SELECT id AS doc_id, slug, 'b,t' || tag AS taxonomy FROM n")
+def front_matter_walk(spark, sf):
+    return walked(spark, sf)[0].select("doc_id", "slug", F.array_join("taxonomy", ",").alias("taxonomy"))
+
+
+@query(f"WITH {WALK_SQL} SELECT x.id AS src, y.id AS dst FROM n x JOIN n y ON y.id = x.id + 1")
+def link_slug_resolution(spark, sf):
+    return walked(spark, sf)[1]
+
+
+@query(f"""WITH {AT_K_SQL}, {ONCE_SQL.removeprefix(RANK_SQL + ", ")}, bad AS (SELECT qid FROM atk WHERE k = 5 AND p < 0.4 UNION SELECT qid FROM atk WHERE k = 10 AND ndcg < 0.3)
+SELECT CASE WHEN starts_with(qid, 'e') THEN split_part(qid, '-', 1) ELSE 'uncategorized' END AS category, k, count(*) AS n, CAST(sum(CAST(bad.qid IS NULL AS INTEGER)) AS BIGINT) AS passed, CAST(sum(CAST(bad.qid IS NOT NULL AS INTEGER)) AS BIGINT) AS failed,
+{', '.join(f'round(avg({c}), 6) AS {c}' for c in ('p', 'r', 'f1', 'hr', 'ndcg'))}, {', '.join(f'round(avg(coalesce({c}, 0)), 6) AS {c}' for c in ('mrr', 'ap', 'rprec'))} FROM atk LEFT JOIN once USING (qid) LEFT JOIN bad USING (qid) GROUP BY ALL""")
+def ir_category_report(spark, sf):
+    ranking, relevant = rankings(spark, sf)
+    rows = E.judged(ranking, relevant)
+    at, single = E.at_k(rows, relevant), E.per_query(rows, relevant)
+    category = at.select("qid").distinct().select("qid", F.when(F.startswith("qid", F.lit("e")), F.split("qid", "-")[0]).otherwise("").alias("category"))
+    bad = at.filter("k = 5 AND p < 0.4 OR k = 10 AND ndcg < 0.3").select("qid")
+    found = E.categories(at, single, bad, category)
+    return found.select("category", "k", "n", "passed", "failed", *[F.round(c, 6).alias(c) for c in ("p", "r", "f1", "hr", "ndcg", "mrr", "ap", "rprec")])
+
+
 # --- Python-backed text operators: tested against tables and brute force
 
 @query()
