@@ -30,8 +30,9 @@ class Index:
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """id with the token arrays of its title and content."""
-    return docs.select(F.col("id").alias("doc_id"), tokenize(F.col("title")).alias("title_tokens"), tokenize(F.col("content")).alias("content_tokens"))
+    """id with the token arrays of its title and content; a null one has none."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return docs.select(F.col("id").alias("doc_id"), tokenize(text("title")).alias("title_tokens"), tokenize(text("content")).alias("content_tokens"))
 
 
 def _postings(tokens: DataFrame, folded: bool) -> DataFrame:
