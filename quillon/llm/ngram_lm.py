@@ -54,7 +54,7 @@ from .session import written
 
 END = W.mix(np.array([0xE0D], W.U))[0]
 #: Bytes of text in a group, tokens behind a shard of pairs, and behind one of words.
-GROUP_BYTES, SHARD_TOKENS, WORD_TOKENS = 4_000_000, 1_000_000, 12_000_000
+GROUP_BYTES, SHARD_TOKENS, WORD_TOKENS = 4_000_000, 1_000_000, 4_000_000
 #: First words with more than this share of a shard's tokens have their pairs spread over all shards.
 SPREAD = 1 / 16
 GROUP_SCHEMA = "g long, ids array<long>, held array<boolean>, sizes array<long>, words binary, counts binary, tokens binary, n long"
@@ -284,13 +284,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens = groups.agg(F.sum("n")).first()[0] or 0
     word_shards = max(1, -(-tokens // WORD_TOKENS))
     stated = groups.select("g", "words", "counts").mapInArrow(lambda b: _state_words(b, word_shards), "g long, shard int, data binary")
-    spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = written(stated.repartition(max(least, word_shards), "shard").groupBy("shard").applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
+    # Tasks grow in number with the corpus, not in size.
+    numbered = written(stated.repartition(word_shards, "shard").groupBy("shard").applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
     corpus = corpus_of(numbered, tokens, word_shards)
     words = numbered.filter("g >= 0")
     groups = groups.select("g", "ids", "held", "sizes", "tokens")
-    by_group, by_shard = max(least, groups.count() // 4), max(least, corpus.shards // 4)  # tasks grow with the corpus, not in it
+    by_group, by_shard = max(1, groups.count() // 4), max(1, corpus.shards // 4)
     groups = groups.repartition(by_group, "g")
     grams = groups.groupBy("g").cogroup(words.repartition(by_group, "g").groupBy("g")).applyInArrow(lambda t, a: _state_grams(t, a, corpus), "g long, shard int, data binary")
     answers = grams.repartition(by_shard, "shard").groupBy("shard").applyInArrow(lambda t: _answer(t, priors), "g long, shard int, data binary")
