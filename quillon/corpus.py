@@ -29,7 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, doc_id and the embedding as doubles: three chunks a document."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    vectors = table(spark, sf_dir, "embeddings")
+    cores = spark.sparkContext.defaultParallelism
+    if vectors.rdd.getNumPartitions() < cores:  # of a small file: one task would scan it alone
+        vectors = vectors.repartition(cores)
+    return vectors.select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
 
 #: The same corpus for DuckDB.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from quillon.functions.text import fold_diacritics, tokenize
 class Index:
     """postings: term, doc_id, title_tf, content_tf, positions (in the content).  vocabulary: term, n_docs.
 
+    pairs: key, doc_id of neighbouring content words.  tokens: doc_id, title_tokens, content_tokens, not folded.
     lengths: doc_id, length.  stats: one row, n_docs, mean_length.  folded: terms have no diacritics, and those of a
     query are folded likewise.
     """
@@ -23,6 +26,8 @@ class Index:
     stats: DataFrame
     folded: bool = False
     vocabulary: DataFrame | None = None
+    pairs: DataFrame | None = None
+    tokens: DataFrame | None = None
 
     def terms(self) -> DataFrame:
         """The distinct terms."""
@@ -55,21 +60,49 @@ def build(docs: DataFrame, folded: bool = True) -> Index:
     return Index(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")), folded)
 
 
-def write(docs: DataFrame, path: str, folded: bool = True) -> None:
-    """Tables of an index below a folder: one pass tokenises, postings lie in the order of their terms, so that a search for some terms skips the other files and row groups."""
+def pair_keys(words: Column) -> Column:
+    """Keys of the neighbouring words of an array, in order."""
+    n = F.size(words) - 1
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_name(path))
+
+
+def _name(path: str) -> str:
+    """The catalog's name for a table of an index."""
+    return f"quillon_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def write(docs: DataFrame, path: str, folded: bool = True, bucket_bytes: int = 128_000_000) -> None:
+    """Tables of an index below a folder: one pass tokenises; postings are bucketed by term and neighbouring pairs by key.
+
+    Searches so shuffle their terms and pairs, never the postings.
+    """
     spark = docs.sparkSession
     tokens_of(docs).write.mode("overwrite").parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    _postings(tokens, folded).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/vocabulary")
     tokens.select("doc_id", (F.size("title_tokens") + F.size("content_tokens")).cast("long").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
-    lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")).write.mode("overwrite").parquet(f"{path}/stats")
+    facts = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, math.ceil(32 * facts.first()["tokens"] / bucket_bytes))
+    facts.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
+    _bucketed(_postings(tokens, folded), f"{path}/postings", "term", buckets)
+    pairs = tokens.filter(F.size("content_tokens") > 1).select(F.explode(F.array_distinct(pair_keys(F.col("content_tokens")))).alias("key"), "doc_id")
+    _bucketed(pairs, f"{path}/pairs", "key", buckets)
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def read(spark: SparkSession, path: str, folded: bool = True) -> Index:
-    postings, lengths, stats, vocabulary = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "stats", "vocabulary"))
-    return Index(postings, lengths, stats, folded, vocabulary)
+    """The index of a folder; its bucketed tables are made known to the session's catalog if they are not."""
+    lengths, stats, vocabulary = (spark.read.parquet(f"{path}/{n}") for n in ("lengths", "stats", "vocabulary"))
+    buckets = stats.first()["buckets"]
+    for name, columns, key in (("postings", "term STRING, doc_id BIGINT, title_tf BIGINT, content_tf BIGINT, positions ARRAY<INT>", "term"), ("pairs", "key BIGINT, doc_id BIGINT", "key")):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(f'{path}/{name}')} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
+    postings, pairs = (spark.table(_name(f"{path}/{n}")) for n in ("postings", "pairs"))
+    return Index(postings, lengths.select("doc_id", "length"), stats.select("n_docs", "mean_length"), folded, vocabulary, pairs, read_tokens(spark, path))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

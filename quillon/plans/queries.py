@@ -112,7 +112,7 @@ def index_of(spark: SparkSession, sf_dir: str, folded: bool = True) -> I.Index:
 
 def engine_of(spark: SparkSession, sf_dir: str, folded: bool = True) -> S.HybridSearch:
     path = written_index(spark, sf_dir, folded)
-    return S.HybridSearch(corpus.documents(spark, sf_dir), I.read(spark, path, folded), corpus.chunks(spark, sf_dir), tokens=I.read_tokens(spark, path))
+    return S.HybridSearch(corpus.documents(spark, sf_dir), I.read(spark, path, folded), corpus.chunks(spark, sf_dir))
 
 
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,12 +165,12 @@ def fts_prefix_and(spark, sf):
 
 @query(f"WITH {DOCS_SQL}, {TOK_SQL}, {BENCH_SQL}, {PHRASE_SQL} SELECT qid, doc_id FROM phr")
 def phrase_match(spark, sf):
-    return S.phrase_arm(corpus.documents(spark, sf), S.prepare_queries(bench_queries(spark, sf)), 10, I.read_tokens(spark, written_index(spark, sf, True)))
+    return S.phrase_arm(corpus.documents(spark, sf), S.prepare_queries(bench_queries(spark, sf)), 10, index_of(spark, sf))
 
 
 @query(f"WITH {DOCS_SQL}, {TOK_SQL}, {WHOLE_SQL}, {PHRASE_SQL} SELECT qid, doc_id FROM phr")
 def phrase_match_whole(spark, sf):
-    return S.phrase_arm(corpus.documents(spark, sf), S.prepare_queries(whole_queries(spark, sf)), 10, I.read_tokens(spark, written_index(spark, sf, True)))
+    return S.phrase_arm(corpus.documents(spark, sf), S.prepare_queries(whole_queries(spark, sf)), 10, index_of(spark, sf))
 
 
 @query(f"WITH {FOLDED_INDEX_SQL}, {WHOLE_SQL}, {FOLDED_BM25_SQL} SELECT qid, rank, doc_id, round(score, 6) AS score FROM fts")

@@ -47,8 +47,9 @@ def test_phrases(spark, docs, tmp_path):
     asked = S.prepare_queries(spark.createDataFrame(list(phrases.items()), "qid int, query string"))
     I.write(docs, f"{tmp_path}/index")
     want = {(1, 1), (1, 3), (2, 1), (2, 3), (2, 6), (4, 2), (6, 1), (7, 6)}
-    for tokens in (None, I.read_tokens(spark, f"{tmp_path}/index")):
-        assert {tuple(r) for r in S.phrase_arm(docs, asked, 10, tokens).collect()} == want
+    for index in (None, I.read(spark, f"{tmp_path}/index")):
+        assert {tuple(r) for r in S.phrase_arm(docs, asked, 10, index).collect()} == want
+    assert {tuple(r) for r in S.phrase_arm(docs.filter("id <> 1"), asked, 10, I.read(spark, f"{tmp_path}/index")).collect()} == {p for p in want if p[1] != 1}
     assert {tuple(r) for r in S.phrase_arm(docs, asked, 1).collect()} == {(1, 1), (2, 1), (4, 2), (6, 1), (7, 6)}
 
 
