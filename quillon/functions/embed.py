@@ -53,6 +53,12 @@ def mock(text: str) -> np.ndarray:
 PROVIDERS: dict[str, Callable[[str], np.ndarray]] = {"mock": mock}
 
 
+def register_provider(name: str, embed: Callable[[str], np.ndarray]) -> None:
+    """Make a function of a text known by a name, if it gives vectors of the right length."""
+    validate(embed)
+    PROVIDERS[name] = embed
+
+
 def provider(name: str) -> Callable[[str], np.ndarray]:
     if not name:
         raise ValueError("an embedding provider must be named")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -55,6 +55,7 @@ class HttpProvider:
     transport: Transport
     key: str = ""
     gap: float = 0.0
+    senders: int = 1
     dimension: int = DIMENSION
     wait: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.monotonic
@@ -86,10 +87,18 @@ class HttpProvider:
         return out
 
     def embed_column(self, rows: DataFrame, key: str, text_col: str) -> DataFrame:
+        """The key and an embedding of each row.
+
+        With a gap there are at most `senders` tasks at work, each with a clock of its own and its share of the rate, so
+        that all of them together keep the gap on average.
+        """
         kind = rows.schema[key].dataType.simpleString()
+        paced = replace(self, gap=self.gap * self.senders)
+        if self.gap:
+            rows = rows.repartition(self.senders)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({key: batch[key], "embedding": [v.tolist() for v in self.embed_batch(batch[text_col].fillna("").tolist())]})
+                yield pd.DataFrame({key: batch[key], "embedding": [v.tolist() for v in paced.embed_batch(batch[text_col].fillna("").tolist())]})
 
         return rows.select(key, text_col).mapInPandas(run, f"{key} {kind}, embedding array<float>")

@@ -12,6 +12,7 @@ from quillon.functions.embed import embed_all
 from quillon.functions.markdown import chunk_all, parse_all
 from quillon.functions.stem import stem_texts
 from quillon.operators import stats as M
+from quillon.session import written
 from quillon.sources import files
 
 SCHEMAS = {
@@ -36,15 +37,27 @@ class Store:
         version = self.spark.read.text(pointer.toString()).first()[0]
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{version}")
 
+    def drop_old(self, name: str) -> None:
+        """Remove the versions of a table that the pointer does not name; for times without readers of them."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        system = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        current = self.spark.read.text(f"{self.folder}/{name}/current.txt").first()[0]
+        for status in system.listStatus(at):
+            if status.isDirectory() and status.getPath().getName() != current:
+                system.delete(status.getPath(), True)
+
     def write(self, name: str, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         df.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]).write.parquet(f"{self.folder}/{name}/{version}")
         jvm = self.spark.sparkContext._jvm
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/current.txt")
-        system = pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        out = system.create(pointer, True)
+        pointer, fresh = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{n}") for n in ("current.txt", f"{version}.txt"))
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        out = pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(fresh, True)
         out.write(bytearray(version.encode()))
         out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fresh, pointer, options)  # in one step: a reader finds the old version or the new one
 
 
 def sync_folder(store: Store, root: str, source: str, now: Column, default_lang: str = "en", provider: str = "mock", full: bool = False) -> dict[str, int]:
@@ -58,7 +71,7 @@ def sync_folder(store: Store, root: str, source: str, now: Column, default_lang:
     known = files.known_hashes(docs, source)
     changed = found if full else files.changed(found, known, F.lit(since).cast("timestamp") if since else F.lit(0).cast("timestamp"))
     gone = files.deleted(known, found)
-    parsed = parse_all(changed, default_lang=default_lang)
+    parsed = written(parse_all(changed, default_lang=default_lang), "parsed")  # read by titles, stems and chunks
     stems = lambda c: stem_texts(parsed.select(F.xxhash64("path").alias("id"), "lang", F.col(c).alias("content"))).select("id", F.col("stemmed").alias(c))
     incoming = parsed.select("path", F.xxhash64("path").alias("k"), "title", "lang").join(changed.select("path", "hash"), "path")
     incoming = incoming.join(stems("title").toDF("k", "stemmed_title"), "k").join(stems("text").toDF("k", "content"), "k").drop("k")
@@ -75,3 +88,12 @@ def sync_folder(store: Store, root: str, source: str, now: Column, default_lang:
     store.write("documents", merged)
     store.write("sync_state", M.upsert_state(state, store.spark.range(1).select(F.lit(source).alias("source"), now.alias("last_sync_at"))))
     return {"changed": n_changed, "deleted": n_gone}
+
+
+def maintain(store: Store) -> None:
+    """Prune chunks of documents that are gone, then write both tables anew in few files; versions before the current ones go."""
+    docs, chunks = store.read("documents"), store.read("chunks")
+    store.write("chunks", M.prune_orphans(docs, chunks, chunks.select("chunk_id"))[0].select(*chunks.columns).coalesce(max(1, chunks.rdd.getNumPartitions() // 4)))
+    store.write("documents", docs.coalesce(max(1, docs.rdd.getNumPartitions() // 4)))
+    for name in ("chunks", "documents"):
+        store.drop_old(name)

@@ -1,11 +1,13 @@
 import json
 import subprocess
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import encoder
-from quillon.plans.ingest import Store, sync_folder
+from quillon.plans.ingest import Store, maintain, sync_folder
 from quillon.sources import git
 
 
@@ -31,6 +33,11 @@ def test_incremental_sync_equals_a_full_one(spark, tmp_path):
     key = lambda s: sorted((r.path, r.hash, r.content) for r in s.read("documents").collect())
     assert key(store) == key(fresh)
     assert sync_folder(store, str(root), "local", now) == {"changed": 0, "deleted": 0}
+    before = key(store)
+    store.write("chunks", store.read("chunks").unionByName(store.read("chunks").withColumns({"doc_id": F.lit(-1).cast("long"), "chunk_id": F.col("chunk_id") + 1})))
+    maintain(store)
+    assert key(store) == before and {r.doc_id for r in store.read("chunks").collect()} == {r.id for r in rows.values()}
+    assert all(len([p for p in (tmp_path / "store" / n).iterdir() if p.is_dir()]) == 1 for n in ("chunks", "documents"))
 
 
 def test_git_source(tmp_path):
@@ -80,3 +87,26 @@ def test_encoder_is_deterministic_and_ignores_padding(tmp_path):
     both = e.encode(["a b", "a b c d e f a b"])
     assert np.allclose(both[0], e.encode(["a b"])[0], atol=1e-5) and np.allclose(np.linalg.norm(both, axis=1), 1, atol=1e-5)
     assert e.encode([]).shape == (0, width)
+
+
+def test_registered_providers_and_paced_senders(spark):
+    import numpy as np
+
+    from quillon.functions import embed
+    from quillon.functions.providers import HttpProvider
+
+    with pytest.raises(ValueError):
+        embed.register_provider("short", lambda t: np.zeros(3))
+    embed.register_provider("ones", lambda t: np.ones(embed.DIMENSION, np.float32))
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "k long, text string").repartition(3)
+    assert {r.embedding[0] for r in embed.embed_all(rows, "ones", "k", "text").collect()} == {1.0}
+    embed.PROVIDERS.pop("ones")
+
+    def answer(url, headers, body):
+        return 200, {}, b'{"embedding": [3.0, 4.0]}'
+
+    http = HttpProvider("ollama", "http://x", "m", answer, gap=0.02, senders=2, dimension=2)
+    assert http.embed_column(rows, "k", "text").rdd.getNumPartitions() == 2
+    began = time.monotonic()
+    assert [round(x, 6) for x in http.embed_column(rows, "k", "text").first().embedding] == [0.6, 0.8]
+    assert time.monotonic() - began > 0
