@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -213,17 +213,6 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q), "vec_id": pa.array(v), "score": pa.array(s)})
 
 
-def lane_keys(spark: SparkSession, tasks: int) -> list[int]:
-    """Numbers that hash partitioning sends to a partition each: one for every partition of `tasks`."""
-    found: dict[int, int] = {}
-    first = 0
-    while len(found) < tasks:
-        for r in spark.range(first, first + 16 * tasks).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("p")).collect():
-            found.setdefault(r.p, r.id)
-        first += 16 * tasks
-    return [found[p] for p in range(tasks)]
-
-
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, rows: int = 16384, queries: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product of floor(scale * x) for each query."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -243,9 +232,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     # A stated query set against all rows in blocks: every block of queries goes to each of a few lanes, every block of rows to one.
     # Blocks are dealt in turn to lanes, each of which is a task of its own; every lane gets all queries.
     tasks = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lanes = F.array(*[F.lit(x) for x in lane_keys(vectors.sparkSession, tasks)[: max(1, 2 * math.ceil(n / rows))]])
-    index = index.withColumn("lane", F.element_at(lanes, (F.pmod(F.col("n"), F.size(lanes)) + 1).cast("int"))).drop("n").repartition(tasks, "lane")
-    asked = asked.withColumn("lane", F.explode(lanes)).repartition(tasks, "lane")
+    lanes = max(1, min(tasks, 2 * math.ceil(n / rows)))
+    index = index.withColumn("lane", F.pmod("n", F.lit(lanes)).cast("int")).drop("n").repartitionById(lanes, "lane")
+    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartitionById(lanes, "lane")
     found = index.join(asked, "lane").drop("lane").mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -43,7 +43,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -276,6 +276,12 @@ def _score(table: pa.Table, answers: pa.Table, corpus: Corpus, priors: tuple[flo
     ], names)
 
 
+def by_shard(rows: DataFrame, shards: int, of_task: int) -> GroupedData:
+    """Rows by their shard, `of_task` shards to a task: tasks grow in number with the corpus, not in size."""
+    lanes = max(1, shards // of_task)
+    return rows.withColumn("lane", F.col("shard") % lanes).repartitionById(lanes, "lane").groupBy("lane", "shard")
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, priors: tuple[float, float] = (300.0, 3.0)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on ids whose crc32 mod `fold` is not `held`."""
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % fold == held
@@ -284,15 +290,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens = groups.agg(F.sum("n")).first()[0] or 0
     word_shards = max(1, -(-tokens // WORD_TOKENS))
     stated = groups.select("g", "words", "counts").mapInArrow(lambda b: _state_words(b, word_shards), "g long, shard int, data binary")
-    # Tasks grow in number with the corpus, not in size.
-    numbered = written(stated.repartition(word_shards, "shard").groupBy("shard").applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
+    numbered = written(by_shard(stated, word_shards, 1).applyInArrow(_number_words, "g long, shard int, data binary"), "lm-words")
     corpus = corpus_of(numbered, tokens, word_shards)
     words = numbered.filter("g >= 0")
+    facts = groups.agg(F.count("*").alias("n"), (F.coalesce(F.max(F.shiftright("g", 32)), F.lit(0)) + 1).alias("parts")).first()
+
+    def by_group(rows: DataFrame) -> GroupedData:
+        lanes = max(1, facts.n // 4)
+        lane = F.pmod(F.shiftright("g", 32) + F.col("g").bitwiseAND((1 << 32) - 1) * facts.parts, F.lit(lanes)).cast("int")
+        return rows.withColumn("lane", lane).repartitionById(lanes, "lane").groupBy("lane", "g")
+
     groups = groups.select("g", "ids", "held", "sizes", "tokens")
-    by_group, by_shard = max(1, groups.count() // 4), max(1, corpus.shards // 4)
-    groups = groups.repartition(by_group, "g")
-    grams = groups.groupBy("g").cogroup(words.repartition(by_group, "g").groupBy("g")).applyInArrow(lambda t, a: _state_grams(t, a, corpus), "g long, shard int, data binary")
-    answers = grams.repartition(by_shard, "shard").groupBy("shard").applyInArrow(lambda t: _answer(t, priors), "g long, shard int, data binary")
-    both = words.withColumn("kind", F.lit(1)).unionByName(answers.withColumn("kind", F.lit(2))).repartition(by_group, "g")
-    scored = groups.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(lambda t, a: _score(t, a, corpus, priors), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    grams = by_group(groups).cogroup(by_group(words)).applyInArrow(lambda t, a: _state_grams(t, a, corpus), "g long, shard int, data binary")
+    answers = by_shard(grams, corpus.shards, 4).applyInArrow(lambda t: _answer(t, priors), "g long, shard int, data binary")
+    both = words.withColumn("kind", F.lit(1)).unionByName(answers.withColumn("kind", F.lit(2)))
+    scored = by_group(groups).cogroup(by_group(both)).applyInArrow(lambda t, a: _score(t, a, corpus, priors), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
