@@ -342,7 +342,16 @@ def title_recall_eval(spark, sf):
     return found.select("n", *[F.round(c, 6).alias(c) for c in ("at_1", "at_3", "at_10", "mrr_10")])
 
 
-@query()
+# The window of 16 words with the most matches, the first of equals, with the matches between two control characters.
+SNIPPET_SQL = """f AS (SELECT qid, doc_id, list_filter(string_split_regex(trim(content), '[ \\t\\n\\r\\f]+'), lambda w: w <> '') AS w, tokens FROM fts JOIN docs ON id = doc_id JOIN prepared USING (qid)),
+g AS (SELECT qid, doc_id, w, tokens, list_filter(range(0, len(w)), lambda i: len(list_filter(tokens, lambda t: starts_with(lower(w[i + 1]), t))) > 0) AS places, greatest(len(w) - 16, 0) AS last FROM f),
+h AS (SELECT *, unnest(CASE WHEN len(places) = 0 THEN [0] ELSE list_distinct(list_transform(places, lambda p: least(p, last))) END) AS at0 FROM g),
+s AS (SELECT qid, doc_id, any_value(w) AS w, any_value(places) AS places, arg_max(at0, (len(list_filter(places, lambda p: p >= at0 AND p < at0 + 16)), -at0)) AS st FROM h GROUP BY qid, doc_id)
+SELECT qid, doc_id, CASE WHEN st > 0 THEN '…' ELSE '' END || array_to_string(list_transform(range(st, least(st + 16, len(w))), lambda i: CASE WHEN list_contains(places, i) THEN chr(1) || w[i + 1] || chr(2) ELSE w[i + 1] END), ' ')
+  || CASE WHEN st + 16 < len(w) THEN '…' ELSE '' END AS snippet FROM s"""
+
+
+@query(f"WITH {INDEX_SQL}, {BENCH_SQL}, {BM25_SQL}, {SNIPPET_SQL}")
 def snippet(spark, sf):
     docs, asked = corpus.documents(spark, sf), S.prepare_queries(bench_queries(spark, sf))
     return S.snippets(S.fts_arm(index_of(spark, sf, False), asked, 10), docs, asked)
