@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few partitions, dealt to all cores: for work that costs more than moving a small table.  Larger ones stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, path, title (first line, 80 characters), lang, source, doc_type, hash, last_modified, content."""
     kind = F.col("doc_id") % 10
@@ -29,11 +35,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, doc_id and the embedding as doubles: three chunks a document."""
-    vectors = table(spark, sf_dir, "embeddings")
-    cores = spark.sparkContext.defaultParallelism
-    if vectors.rdd.getNumPartitions() < cores:  # of a small file: one task would scan it alone
-        vectors = vectors.repartition(cores)
-    return vectors.select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    return spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
 
 #: The same corpus for DuckDB.

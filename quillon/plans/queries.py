@@ -101,7 +101,7 @@ def written_index(spark: SparkSession, sf_dir: str, folded: bool) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, state, folded)
     if key not in _WRITTEN:
         path = new_folder(spark, "index")
-        I.write(corpus.documents(spark, sf_dir), path, folded)
+        I.write(corpus.spread(corpus.documents(spark, sf_dir)), path, folded)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
@@ -375,7 +375,7 @@ _STOPS = " ".join(f"WHEN lang = '{c}' THEN list_filter({TOKENS.format('text')},
 @query(f"SELECT doc_id, md5(array_to_string(CASE {_STOPS} ELSE {TOKENS.format('text')} END, ' ')) AS digest FROM documents")
 def filter_stopwords(spark, sf):
     kept = T.filter_stop_words(T.tokenize(F.col("text")), F.col("lang"))
-    return corpus.table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(kept, " ")).alias("digest"))
+    return corpus.spread(corpus.table(spark, sf, "documents").select("doc_id", "lang", "text")).select("doc_id", F.md5(F.array_join(kept, " ")).alias("digest"))
 
 
 _HITS = {c: f"2 * len(list_filter({TOKENS.format('text')}, lambda t: list_contains({_sql_list(T.detect_words(c))}, t)))" for c in T.STOP_WORDS}
@@ -385,7 +385,7 @@ _HITS = {c: f"2 * len(list_filter({TOKENS.format('text')}, lambda t: list_contai
 CASE WHEN contains(lower(text), 'tx') THEN 5 ELSE 0 END + CASE WHEN contains(lower(text), 'tz') THEN 3 ELSE 0 END + {_HITS['eu']} AS eu FROM documents)
 SELECT doc_id, CASE WHEN eu > greatest(en, es) THEN 'eu' WHEN es > en THEN 'es' ELSE 'en' END AS detected FROM s""")
 def detect_language(spark, sf):
-    return corpus.table(spark, sf, "documents").select("doc_id", T.detect_language(F.col("text")).alias("detected"))
+    return corpus.spread(corpus.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.detect_language(F.col("text")).alias("detected"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT id AS doc_id, trim(regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '-') AS slug FROM docs")
@@ -900,21 +900,21 @@ def ir_category_report(spark, sf):
 def stem_text(spark, sf):
     from quillon.functions.stem import stem_texts
 
-    return stem_texts(corpus.documents(spark, sf)).select("id", F.md5("stemmed").alias("digest"))
+    return stem_texts(corpus.spread(corpus.documents(spark, sf).select("id", "lang", "content"))).select("id", F.md5("stemmed").alias("digest"))
 
 
 @query()
 def chunk_text(spark, sf):
     from quillon.functions.markdown import chunk_all
 
-    return chunk_all(corpus.documents(spark, sf)).select("doc_id", "chunk_index", F.octet_length("text").alias("bytes"))
+    return chunk_all(corpus.spread(corpus.documents(spark, sf).select("id", "content"))).select("doc_id", "chunk_index", F.octet_length("text").alias("bytes"))
 
 
 @query()
 def markdown_parse(spark, sf):
     from quillon.functions.markdown import parse_all
 
-    return parse_all(corpus.documents(spark, sf)).select("path", "title", "lang", F.length("text").alias("n_chars"))
+    return parse_all(corpus.spread(corpus.documents(spark, sf).select("path", "content"))).select("path", "title", "lang", F.length("text").alias("n_chars"))
 
 
 @query()
@@ -922,6 +922,6 @@ def embed_mock(spark, sf):
     from quillon.functions.embed import embed_all
     from quillon.functions.markdown import chunk_all
 
-    pieces = chunk_all(corpus.documents(spark, sf)).withColumn("chunk", F.concat_ws("-", "doc_id", "chunk_index"))
+    pieces = chunk_all(corpus.spread(corpus.documents(spark, sf).select("id", "content"))).withColumn("chunk", F.concat_ws("-", "doc_id", "chunk_index"))
     digest = F.md5(F.array_join(F.transform("embedding", lambda x: F.format_string("%.5f", x)), " "))
     return embed_all(pieces, "mock", "chunk", "text").select("chunk", F.size("embedding").alias("n"), digest.alias("digest"))
