@@ -11,9 +11,9 @@ place, and a window is a repeat if the same sequence starts earlier (smaller
 id, or same text and earlier start).  The union of the repeats of a text are
 the maximal exact repeats; they are cut out.
 
-Windows are compared by a 64-bit hash.  Of W windows near anchors about
-W * W / 2**65 pairs of different ones have equal hashes by chance: under 3 of
-10**10 windows.
+Windows of different groups are compared by 80 bits of two hashes, those of one
+group by 64: of 10**10 windows near anchors, 10**5 to 10**6 in a group, under
+0.0003 pairs of different ones are taken for equal by chance.
 
 Defined results: a null text counts as empty and has nothing to remove; texts
 shorter than `window` words stay; rows with the same id are one after another
@@ -94,11 +94,11 @@ def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
 def _state_windows(table: pa.Table, answers: pa.Table, block: int, window: int, shards: int) -> pa.Table:
     """Windows around a group's anchors: hash, first place, and whether there are more here."""
     anchors = _keys_of(answers)
-    fields = [("shard", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("more", pa.binary())]
+    fields = [("shard", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("more", pa.binary())]
     if not table.num_rows or not len(anchors):
         return _table([], fields, g=0)
     table = in_order(table)
-    keys, ats, rows, before = [], [], [], 0
+    keys, checks, ats, rows, before = [], [], [], [], 0
     for part in slices(table):
         words = W.words_of(W.texts_of(part.column("text")))
         start, hashed = words.windows(block, W.ALT_BASE)
@@ -109,15 +109,19 @@ def _state_windows(table: pa.Table, answers: pa.Table, block: int, window: int,
         near = hits[at + window - block + 1] > hits[at]
         owner = words.text_of()[at[near]]
         keys.append(hashed[near])
+        checks.append((W.spans_hash(words.hashes, at[near], at[near] + window, W.ALT_BASE) >> W.U(48)).astype(np.uint16))
         ats.append(at[near] - words.first[owner])
         rows.append(owner + before)
         before += part.num_rows
-    key, at, row = np.concatenate(keys), np.concatenate(ats), np.concatenate(rows)
-    distinct, first, counts = np.unique(key, return_index=True, return_counts=True)
+    key, check, at, row = np.concatenate(keys), np.concatenate(checks), np.concatenate(ats), np.concatenate(rows)
+    order = np.lexsort((check, key))  # stable: the first of equals stays the first
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(check[order]) != 0)])) if len(key) else np.zeros(0, np.int64)
+    first, counts = order[new], np.diff(np.append(new, len(key)))
+    distinct, check = key[first], check[first]
     least = np.iinfo(np.int64).min
     ids = table.column("doc_id").cast(pa.int64()).fill_null(least).to_numpy()[row[first]]
     places = at[first].astype(np.int64)
-    out = [(s, pack_keys(distinct[a:b]), planes(ids[a:b]), planes(places[a:b]), pack_bits(counts[a:b] > 1)) for s, a, b in shard_edges(distinct, shards)]
+    out = [(s, pack_keys(distinct[a:b]), planes(check[a:b]), planes(ids[a:b]), planes(places[a:b]), pack_bits(counts[a:b] > 1)) for s, a, b in shard_edges(distinct, shards)]
     return _table(out, fields, g=table.column("g")[0].as_py())
 
 
@@ -129,11 +133,12 @@ def _find_repeats(table: pa.Table) -> pa.Table:
     key = np.concatenate(keys)
     ids = np.concatenate([unplanes(b, np.int64) for b in stated["ids"]])
     places = np.concatenate([unplanes(b, np.int64) for b in stated["places"]])
+    check = np.concatenate([unplanes(b, np.uint16) for b in stated["checks"]])
     more = np.concatenate([unpack_bits(b, n) for b, n in zip(stated["more"], sizes, strict=True)])
-    order = np.lexsort((places, ids, key))
-    ranked = key[order]
+    order = np.lexsort((places, ids, check, key))
+    ranked, checked = key[order], check[order]
     later = np.zeros(len(key), bool)
-    later[order[1:]] = ranked[1:] == ranked[:-1]
+    later[order[1:]] = (ranked[1:] == ranked[:-1]) & (checked[1:] == checked[:-1])
     rows, edge = [], 0
     for g, k, n in zip(stated["g"], keys, sizes, strict=True):
         gone, own = later[edge : edge + n], more[edge : edge + n]
@@ -205,7 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bare = own.select("g", "doc_id", "text")
     probes = bare.groupBy("g").applyInArrow(lambda t: _state_anchors(t, block, shards), "g int, shard int, keys binary, n long, blocks binary, more binary")
     anchors = probes.groupBy("shard").applyInArrow(_find_anchors, "g int, keys binary")
-    stated = bare.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(lambda t, a: _state_windows(t, a, block, window, shards), "g int, shard int, keys binary, ids binary, places binary, more binary")
+    stated = bare.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(lambda t, a: _state_windows(t, a, block, window, shards), "g int, shard int, keys binary, checks binary, ids binary, places binary, more binary")
     repeats = stated.groupBy("shard").applyInArrow(_find_repeats, "g int, kind int, keys binary")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     out = StructType([StructField("doc_id", LongType()), *carried, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", ArrayType(span)), StructField("kept_text", StringType())])
