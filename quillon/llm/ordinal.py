@@ -11,7 +11,7 @@ expected grade and the probability of the upper grades select texts.
 
 The fit takes at most `per_class` rated texts of each grade, drawn by a hash of
 the id, and runs on the driver; scoring is one pass over whole texts with the
-weights (4 bytes a bucket) in the closure.
+weights (8 bytes a bucket) in the closure.
 
 Defined results: a null or empty text has no words and form measures of 0;
 repeated rows are scored one by one; null ratings and ratings of unknown ids
