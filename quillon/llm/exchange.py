@@ -1,6 +1,6 @@
 """Questions about hashed keys, sent from groups of documents to key shards and answered back.
 
-Documents are dealt into groups by their id.  A group states each of its
+Documents are dealt into groups by their id and text.  A group states each of its
 distinct keys once, as sorted 64-bit numbers in one compressed block per shard
 of the key range; a shard sees all blocks of its range and answers each group.
 However often a key occurs, a shard gets it once per group, so a very frequent
@@ -62,13 +62,13 @@ def shard_edges(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Column] | None = None, group_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """(g, doc_id, text, ...), dealt by g, a group of documents by id; and the number of groups, which is that of shards too."""
+    """(g, doc_id, text, ...), dealt by g, a group of documents by id and text, so that many texts of one id, or of none, part; and the number of groups, which is that of shards too."""
     more = more or {}
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c.alias(k) for k, c in more.items()))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(total / (group_bytes or GROUP_BYTES)))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 8)
-    return own.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text", *more).repartition(parts, "g"), groups
+    return own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text", *more).repartition(parts, "g"), groups
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -16,8 +16,9 @@ group by 64: of 10**10 windows near anchors, 10**5 to 10**6 in a group, under
 0.0003 pairs of different ones are taken for equal by chance.
 
 Defined results: a null text counts as empty and has nothing to remove; texts
-shorter than `window` words stay; rows with the same id are one after another
-in the order of their texts; a null id is before all others.  Other columns
+shorter than `window` words stay; of rows with the same id in one group
+(dealt by id and text) the smaller text is earlier, in several groups the
+smaller start, then the smaller group; a null id is before all others.  Other columns
 are not read.
 """
 
@@ -135,7 +136,7 @@ def _find_repeats(table: pa.Table) -> pa.Table:
     places = np.concatenate([unplanes(b, np.int64) for b in stated["places"]])
     check = np.concatenate([unplanes(b, np.uint16) for b in stated["checks"]])
     more = np.concatenate([unpack_bits(b, n) for b, n in zip(stated["more"], sizes, strict=True)])
-    order = np.lexsort((places, ids, check, key))
+    order = np.lexsort((np.repeat(stated["g"], sizes), places, ids, check, key))
     ranked, checked = key[order], check[order]
     later = np.zeros(len(key), bool)
     later[order[1:]] = (ranked[1:] == ranked[:-1]) & (checked[1:] == checked[:-1])

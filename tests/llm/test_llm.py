@@ -465,6 +465,20 @@ def test_repeated_rows_do_not_push_out_labelled_texts(spark):
     assert found == [(1, 0, "again"), (2, 1, "two"), (3, 0, "three"), (4, 1, "")] and sizes == {0: 2, 1: 2}
 
 
+def test_repeats_of_many_rows_of_one_id(spark, monkeypatch):
+    """Texts of one id, or of none, are dealt to several groups; every repeated window stays once."""
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 3_000)
+    rng = np.random.default_rng(13)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(7 if i % 2 else None, f"{' '.join(f'r{i}w{k}' for k in range(int(rng.integers(20, 40))))} {passage} end{i}") for i in range(40)]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    own, groups = exchange.grouped(df, "doc_id", "text")
+    assert groups > 3 and own.filter("doc_id IS NULL").select("g").distinct().count() > 1
+    got = substrings.remove_repeats(df).collect()
+    assert sum(passage in r.kept_text for r in got) == 1 and sum(r.n_removed for r in got) == 39 * 30
+    assert all(f"end{i}" in " ".join(r.kept_text for r in got) for i in range(40))
+
+
 def test_repeats(docs, rows, none, monkeypatch):
     monkeypatch.setattr(exchange, "GROUP_BYTES", 3_000)
     got = collections.Counter((-2**63 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substrings.remove_repeats(docs).collect())
