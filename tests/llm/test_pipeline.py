@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillon.llm import toxicity
+from quillon.llm.components import components
 from tests.llm.test_llm import brute_classes, cut, labelled, prose
 
 
@@ -91,3 +93,31 @@ def test_copies_under_an_id_of_another_text(spark, folder):
     docs = spark.createDataFrame([(5, other), (5, base), (3, base), (3, base), (None, base), (None, "alone here")], "doc_id long, text string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(5, other), (3, base), (None, "alone here")], key=str)
+
+
+def test_the_toxicity_model_is_not_fitted_on_the_driver(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    here, own = [], toxicity.dictionaries
+    monkeypatch.setattr(toxicity, "dictionaries", lambda toxic, *rest: here.append(len(toxic)) or own(toxic, *rest))
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert not here and model.toxic and model.weights.any()
+
+
+def test_few_links_take_few_jobs(spark):
+    """Every job costs the driver memory; the rounds for many links give the same labels."""
+    rng = np.random.default_rng(4)
+    pairs = [(i, i + 1) for i in range(100, 130)] + [tuple(map(int, p)) for p in rng.integers(200, 260, (40, 2))] + [(7, 7)]
+    nodes = sorted({x for p in pairs for x in p} | {1, 2})
+    least = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    of = lambda x: x.to_bytes(16, "big")
+    frames = spark.createDataFrame([(of(x),) for x in nodes], "key binary"), spark.createDataFrame([(of(a), of(b)) for a, b in pairs], "a binary, b binary")
+    read = lambda df: {int.from_bytes(r.key, "big"): int.from_bytes(r.label, "big") for r in df.collect()}
+    spark.sparkContext.setJobGroup("links", "links")
+    assert read(components(*frames, "key")) == least
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("links")) <= 10
+    assert read(components(*frames, "key", at_once=0)) == least
+    assert read(components(frames[0], frames[1].limit(0), "key")) == {x: x for x in nodes}
