@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 DIMENSION = 384
@@ -73,12 +73,15 @@ def validate(embed: Callable[[str], np.ndarray], dimension: int = DIMENSION) ->
 
 
 def embed_all(rows: DataFrame, name: str, key: str, text_col: str) -> DataFrame:
-    """The key and an embedding of each row, batch by batch."""
+    """The key and an embedding of each row, a few hundred at a time; vectors leave as one buffer, not as Python numbers."""
     embed = provider(name)
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "embedding": [embed(t or "").tolist() for t in batch[text_col]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                vectors = np.stack([embed(t.as_py() or "") for t in batch.column(text_col)]).astype(np.float32)
+                ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], [key, "embedding"])
 
-    return rows.select(key, text_col).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+    return rows.select(key, text_col).mapInArrow(run, f"{key} {kind}, embedding array<float>")
