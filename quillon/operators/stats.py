@@ -60,7 +60,7 @@ def upsert_state(state: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def prune_postings(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings of known documents."""
+    """Postings, or the token rows that they come from, of known documents."""
     return postings.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
 
